@@ -112,8 +112,8 @@ vocabulary as (select name, row_number() over (order by name) as code from (sele
 
 def named_requests(spark, sf_dir):
     parts = bids(spark, sf_dir).select("impid", I.split_interests(F.col("interests")).alias("parts"))
-    kinds = taxonomy(spark, sf_dir)
-    return jobs.interest_names(parts, "parts", kinds, "impid", "names", kinds.count()).drop("parts")
+    codes = jobs.taxonomy_map(taxonomy(spark, sf_dir))
+    return jobs.interest_names(parts, "parts", codes, "impid", "names").drop("parts")
 
 
 @query(

@@ -92,9 +92,13 @@ def taxonomy_rows(taxonomy: DataFrame, limit: int = 50_000) -> list[tuple[str, s
     return [(row[0], row[1]) for row in rows]
 
 
+def sql_text(text: str) -> str:
+    """A SQL string constant."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _literals(terms: Sequence[str]) -> str:
-    quoted = ("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms)
-    return f"array({', '.join(quoted)})"
+    return f"array({', '.join(map(sql_text, terms))})"
 
 
 def any_contains(text: str, terms: Sequence[str]) -> Column:

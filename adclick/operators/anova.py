@@ -8,14 +8,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adclick.functions.features import ratio, square, squared_deviation
+from adclick.operators.lookup import BROADCAST_BYTES, lookup
+from adclick.sources.scratch import materialise
 
 
-def with_group_mean(df: DataFrame, cat: str, value: str, out: str = "group_mean") -> DataFrame:
-    """Each row with the mean of its group. The mean is an aggregate joined
-    back, so that a very large group is not gathered in one task; rows with a
-    null group have no partner and drop out."""
-    means = df.groupBy(F.col(cat).alias("__cat")).agg(F.avg(value).alias(out))
-    return df.join(means, F.col(cat) == F.col("__cat")).drop("__cat")
+def with_group_mean(
+    df: DataFrame,
+    cat: str,
+    value: str,
+    out: str = "group_mean",
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Each row with the mean of its group; rows without a group drop out.
+
+    The means are aggregated (so a very large group is not gathered in one
+    task), measured, and looked up like any dimension.
+    """
+    grouped = df.filter(F.col(cat).isNotNull())
+    means = materialise(
+        grouped.groupBy(F.col(cat).cast("string").alias("value")).agg(
+            F.avg(value).alias("code"), F.count(F.lit(1)).alias("n")
+        ),
+        "means",
+    )
+    size = means.agg(
+        F.coalesce(F.sum(F.octet_length("value") + 64), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+    ).first()
+    missing = F.lit(None).cast("double")
+    return lookup(grouped, cat, means, missing, size["bytes"], size["rows"], out, broadcast_bytes)
 
 
 def group_statistics(df: DataFrame, cat: str, value: str) -> DataFrame:

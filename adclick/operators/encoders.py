@@ -51,6 +51,10 @@ class ValueEncoder:
     def columns(self) -> list[str]:
         return list(self.stats)
 
+    def only(self, *columns: str) -> ValueEncoder:
+        """The same encoder for some of its columns."""
+        return ValueEncoder(self.mapping, {c: self.stats[c] for c in columns})
+
     def mapping_of(self, feature: str) -> DataFrame:
         """One column's part: a partition-pruned scan."""
         return self.mapping.filter(F.col("feature") == feature).select("value", "code", "n")
@@ -109,28 +113,32 @@ class ValueEncoder:
         return cls(mapping, {name: FeatureStats(**stats) for name, stats in raw.items()})
 
 
-def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    texts = [F.col(c).cast("string").alias(c) for c in columns]
-    if len(columns) == 1:
-        long = df.select(F.lit(columns[0]).alias("feature"), texts[0].alias("value"))
+def value_counts(
+    df: DataFrame, columns: Sequence[str], arrays: Sequence[str] = ()
+) -> DataFrame:
+    """(feature, value, n) of the columns, and of the elements of the array
+    columns, from one scan. Written down, as the ranking reads it repeatedly."""
+    texts = [F.col(c).cast("string") for c in columns]
+    if arrays:
+        # The casts make all lists nullable alike: unpivot takes the first one's type.
+        held = {c: F.array(text) for c, text in zip(columns, texts, strict=True)}
+        held |= {name: F.col(name) for name in arrays}
+        lists = df.select(*[x.cast("array<string>").alias(c) for c, x in held.items()]).unpivot([], [*columns, *arrays], "feature", "values")
+        long = lists.select("feature", F.explode("values").alias("value"))
     else:
-        long = df.select(*texts).unpivot([], list(columns), "feature", "value")
-    return long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+        named = [text.alias(c) for c, text in zip(columns, texts, strict=True)]
+        long = df.select(*named).unpivot([], list(columns), "feature", "value")
+    return materialise(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), "values")
 
 
-def _fit(
-    df: DataFrame,
+def _ranked(
+    counts: DataFrame,
     columns: Sequence[str],
     order: Sequence[Column],
     first: int,
-    nulls: bool,
     unseen_after_last: bool,
     rows_per_task: int,
 ) -> ValueEncoder:
-    counts = _value_counts(df, columns)
-    if not nulls:
-        counts = counts.filter(F.col("value").isNotNull())
-    counts = materialise(counts, "values")
     # One row per column.
     sizes = {
         row["feature"]: row
@@ -157,13 +165,29 @@ def _fit(
     return ValueEncoder(materialise(mapping, "mapping", ("feature",)), stats)
 
 
+def dictionary_of(
+    counts: DataFrame, columns: Sequence[str], rows_per_task: int = ROWS_PER_TASK
+) -> ValueEncoder:
+    """The dictionary of columns whose values are counted already."""
+    chosen = counts.filter(F.col("feature").isin(list(columns)))
+    return _ranked(chosen, columns, [F.col("value").asc_nulls_first()], 1, False, rows_per_task)
+
+
+def frequency_index_of(
+    counts: DataFrame, columns: Sequence[str], rows_per_task: int = ROWS_PER_TASK
+) -> ValueEncoder:
+    """The frequency index of columns whose values are counted already."""
+    chosen = counts.filter(F.col("feature").isin(list(columns)) & F.col("value").isNotNull())
+    order = [F.col("n").desc(), F.col("value").asc()]
+    return _ranked(chosen, columns, order, 0, True, rows_per_task)
+
+
 def fit_dictionary(
     df: DataFrame, columns: Sequence[str], rows_per_task: int = ROWS_PER_TASK
 ) -> ValueEncoder:
     """Codes 1, 2, 3 … in value order. Null is a value and comes first; values
     not seen here are coded 0."""
-    order = [F.col("value").asc_nulls_first()]
-    return _fit(df, columns, order, 1, True, False, rows_per_task)
+    return dictionary_of(value_counts(df, columns), columns, rows_per_task)
 
 
 def fit_frequency_index(
@@ -171,5 +195,4 @@ def fit_frequency_index(
 ) -> ValueEncoder:
     """Codes 0, 1, 2 … from the most frequent value down, ties in value order.
     Null and values not seen here share the code after the last."""
-    order = [F.col("n").desc(), F.col("value").asc()]
-    return _fit(df, columns, order, 0, False, True, rows_per_task)
+    return frequency_index_of(value_counts(df, columns), columns, rows_per_task)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,46 +79,57 @@ def lookup(
     return coded.drop("__h", "__hot", "__salt", "__v", "__cold", "__zero")
 
 
+@dataclass(frozen=True)
+class ElementMap:
+    """A table (value, code), and its rows where they are few."""
+
+    table: DataFrame
+    rows: list[tuple] | None
+
+    @classmethod
+    def of(cls, table: DataFrame, literal_entries: int = LITERAL_ENTRIES) -> ElementMap:
+        rows = table.select("value", "code").limit(literal_entries + 1).collect()
+        few = len(rows) <= literal_entries
+        return cls(table, [tuple(row) for row in rows] if few else None)
+
+    def find(self, element: Column) -> Column:
+        """The code of one element, null where there is none."""
+        kind = self.table.schema["code"].dataType
+        if not self.rows:
+            return F.lit(None).cast(kind)
+        values = F.lit([value for value, _ in self.rows])
+        codes = F.lit([code for _, code in self.rows]).cast(T.ArrayType(kind))
+        return F.get(codes, F.array_position(values, element).cast("int") - 1)
+
+
 def lookup_elements(
     df: DataFrame,
     column: str,
-    mapping: DataFrame,
+    elements: ElementMap,
     otherwise: Callable[[Column], Column],
     key: str,
-    entries: int,
     out: str,
-    literal_entries: int = LITERAL_ENTRIES,
 ) -> DataFrame:
     """Fill ``out`` with the codes of an array's elements, in their order.
 
-    ``mapping`` has (value, code) and ``entries`` rows; ``otherwise`` maps an
-    element that is not in it. A short mapping goes into the plan as two literal
-    arrays and stays in the projection; a long one is joined to the exploded
-    elements, which are put together again by the unique ``key``, so a group is
-    never larger than one row's array. Null arrays stay null, empty ones empty.
+    ``otherwise`` maps an element that has no code. A short map goes into the
+    plan as two constant arrays and stays in the projection; a long one is
+    joined to the exploded elements, which are put together again by the unique
+    ``key``, so a group is never larger than one row's array. Null arrays stay
+    null, empty ones empty.
     """
-    if entries <= literal_entries:
-        rows = mapping.select("value", "code").limit(literal_entries).collect()
-        if not rows:
-            return df.withColumn(out, F.transform(column, otherwise))
-        kind = T.ArrayType(mapping.schema["code"].dataType)
-        values = F.lit([r[0] for r in rows])
-        codes = F.lit([r[1] for r in rows]).cast(kind)
-
-        def find(element: Column) -> Column:
-            return F.coalesce(
-                F.get(codes, F.array_position(values, element).cast("int") - 1), otherwise(element)
-            )
-
-        return df.withColumn(out, F.transform(column, find))
-
-    elements = df.select(key, F.posexplode(column).alias("__pos", "__element"))
-    small = mapping.select(F.col("value").alias("__v"), F.col("code").alias("__c"))
-    coded = elements.join(small, F.col("__element") == F.col("__v"), "left").select(
+    if elements.rows is not None:
+        return df.withColumn(
+            out, F.transform(column, lambda e: F.coalesce(elements.find(e), otherwise(e)))
+        )
+    exploded = df.select(key, F.posexplode(column).alias("__pos", "__element"))
+    table = elements.table.select(F.col("value").alias("__v"), F.col("code").alias("__c"))
+    coded = exploded.join(table, F.col("__element") == F.col("__v"), "left").select(
         key, "__pos", F.coalesce("__c", otherwise(F.col("__element"))).alias("__c")
     )
+    in_order = F.array_sort(F.collect_list(F.struct("__pos", "__c")))
     arrays = coded.groupBy(F.col(key).alias("__key")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__c"))), lambda s: s["__c"]).alias("__codes")
+        F.transform(in_order, lambda pair: pair["__c"]).alias("__codes")
     )
     empty = F.when(F.col(column).isNotNull(), F.array().cast(arrays.schema["__codes"].dataType))
     joined = df.join(arrays, F.col(key) == F.col("__key"), "left")

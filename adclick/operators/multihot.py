@@ -9,8 +9,9 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adclick.functions.interests import sql_text
 from adclick.operators.encoders import ValueEncoder, fit_dictionary
-from adclick.operators.lookup import LITERAL_ENTRIES, lookup_elements
+from adclick.operators.lookup import LITERAL_ENTRIES, ElementMap, lookup_elements
 
 
 def fit_vocabulary(df: DataFrame, column: str) -> ValueEncoder:
@@ -38,9 +39,8 @@ def element_indices(
     """Fill ``out`` with the indices of the elements; unknown ones are 0."""
     mapping = vocabulary.mapping_of(column).withColumn("code", F.col("code").cast("bigint"))
     unknown = F.lit(0).cast("bigint")
-    return lookup_elements(
-        df, column, mapping, lambda _: unknown, key, vocabulary.stats[column].values, out, literal_entries
-    )
+    elements = ElementMap.of(mapping, literal_entries)
+    return lookup_elements(df, column, elements, lambda _: unknown, key, out)
 
 
 def column_names(names: Sequence[str], prefix: str = "interest_") -> list[str]:
@@ -59,10 +59,19 @@ def column_names(names: Sequence[str], prefix: str = "interest_") -> list[str]:
 
 
 def multi_hot_columns(column: str, names: Sequence[str], prefix: str = "interest_") -> list[Column]:
-    """One 0/1 int column per name; a null array holds none of them."""
+    """One 0/1 int column per name; a null array holds none of them.
+
+    The first column is tested with ``exists``, which keeps the projection out
+    of whole-stage code: there, this many columns make one method too long for
+    the JVM to compile, and every row is interpreted.
+    """
+    tests = [
+        f"exists({column}, e -> e = {sql_text(name)})" if i == 0 else f"array_contains({column}, {sql_text(name)})"
+        for i, name in enumerate(names)
+    ]
     return [
-        F.coalesce(F.array_contains(column, name), F.lit(False)).cast("int").alias(safe)
-        for name, safe in zip(names, column_names(names, prefix), strict=True)
+        F.expr(f"int(coalesce({test}, false))").alias(safe)
+        for test, safe in zip(tests, column_names(names, prefix), strict=True)
     ]
 
 

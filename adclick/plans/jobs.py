@@ -15,8 +15,14 @@ from adclick.functions import features as X
 from adclick.functions import interests as I
 from adclick.operators import metrics, multihot, sampling
 from adclick.operators.anova import anova_screen
-from adclick.operators.encoders import ValueEncoder, fit_dictionary, fit_frequency_index
-from adclick.operators.lookup import LITERAL_ENTRIES, lookup_elements
+from adclick.operators.encoders import (
+    ValueEncoder,
+    dictionary_of,
+    fit_dictionary,
+    frequency_index_of,
+    value_counts,
+)
+from adclick.operators.lookup import LITERAL_ENTRIES, ElementMap, lookup_elements
 from adclick.plans import models
 from adclick.sources.schema import FeatureSpec
 from adclick.sources.settings import read_json, write_json
@@ -102,50 +108,57 @@ MULTI_HOT_INDEXED = (
 
 @dataclass(frozen=True)
 class MultiHotModel:
-    """Fitted names, indices and taxonomy of the multi-hot cleaning."""
+    """Fitted names, indices and taxonomy of the multi-hot cleaning. Flags in
+    ``flipped`` are given as 1 - flag."""
 
-    taxonomy: DataFrame
-    taxonomy_entries: int
+    taxonomy: ElementMap
     media: ValueEncoder
     index: ValueEncoder
     names: Sequence[str]
-    flag_index: ValueEncoder | None
+    flipped: frozenset[str] = frozenset()
 
     def transform(self, requests: DataFrame) -> DataFrame:
         """(impid, labelIndex, <column>Index …, interest_… , features)."""
-        named = _multi_hot_base(requests, self.taxonomy, self.taxonomy_entries)
-        flags = multihot.column_names(self.names)
-        wide = multihot.multi_hot(self.media.transform(named), "names", self.names).drop("names")
-        indexed = self.index.transform(wide, suffix="Index").drop(*MULTI_HOT_INDEXED)
+        named = self.media.transform(_multi_hot_base(requests, self.taxonomy))
+        indexed = self.index.transform(named, suffix="Index")
         inputs = [f"{c}Index" for c in MULTI_HOT_INDEXED if c != "label"]
-        if self.flag_index is None:
-            inputs += flags
-        else:
-            indexed = self.flag_index.transform(indexed, suffix="Index").drop(*flags)
-            inputs += [f"{c}Index" for c in flags]
-        return VectorAssembler(inputCols=inputs, outputCol="features").transform(
-            indexed.select("impid", "labelIndex", *inputs)
-        )
+        flags = [
+            (1 - flag if name in self.flipped else flag).alias(column)
+            for name, column, flag in zip(
+                self.names,
+                multihot.column_names(self.names),
+                multihot.multi_hot_columns("names", self.names),
+                strict=True,
+            )
+        ]
+        wide = indexed.select("impid", "labelIndex", *inputs, *flags)
+        assembler = VectorAssembler(inputCols=wide.columns[2:], outputCol="features")
+        return assembler.transform(wide)
+
+
+def taxonomy_map(taxonomy: DataFrame, literal_entries: int = LITERAL_ENTRIES) -> ElementMap:
+    """Lower-case names by interest code."""
+    return ElementMap.of(
+        taxonomy.filter(I.has_code(F.col("Interest"))).select(
+            F.col("Interest").alias("value"), F.lower("Description").alias("code")
+        ),
+        literal_entries,
+    )
 
 
 def interest_names(
     df: DataFrame,
     column: str,
-    taxonomy: DataFrame,
+    taxonomy: ElementMap,
     key: str,
     out: str,
-    entries: int,
     strict: bool = False,
-    literal_entries: int = LITERAL_ENTRIES,
 ) -> DataFrame:
     """Array of interest codes -> distinct lower-case names, in first-seen order.
 
     Parts that are not codes stay as they are; an unknown code becomes itself
     in lower case, or fails the job when ``strict``. Null gives no names.
     """
-    mapping = taxonomy.filter(F.col("Interest").startswith("IAB")).select(
-        F.col("Interest").alias("value"), F.lower("Description").alias("code")
-    )
 
     def unknown(part):
         if not strict:
@@ -153,12 +166,12 @@ def interest_names(
         failure = F.raise_error(F.concat(F.lit("unknown interest code "), part)).cast("string")
         return F.when(I.has_code(part), failure).otherwise(F.lower(part))
 
-    named = lookup_elements(df, column, mapping, unknown, key, entries, out, literal_entries)
+    named = lookup_elements(df, column, taxonomy, unknown, key, out)
     empty = F.array().cast("array<string>")
     return named.withColumn(out, F.coalesce(F.array_distinct(out), empty))
 
 
-def _multi_hot_base(requests: DataFrame, taxonomy: DataFrame, entries: int) -> DataFrame:
+def _multi_hot_base(requests: DataFrame, taxonomy: ElementMap) -> DataFrame:
     parts = requests.select(
         "impid",
         "appOrSite",
@@ -173,26 +186,35 @@ def _multi_hot_base(requests: DataFrame, taxonomy: DataFrame, entries: int) -> D
         "user",
         I.split_interests(F.col("interests")).alias("parts"),
     )
-    return interest_names(parts, "parts", taxonomy, "impid", "names", entries).drop("parts")
+    return interest_names(parts, "parts", taxonomy, "impid", "names").drop("parts")
 
 
 def fit_multi_hot(
     requests: DataFrame, taxonomy: DataFrame, index_flags: bool = False
 ) -> MultiHotModel:
-    """Fit the multi-hot cleaning. Flags pass through as 0/1; ``index_flags``
-    puts them through the frequency index too (0 is then the commoner value)."""
-    entries = taxonomy.count()
-    named = _multi_hot_base(requests, taxonomy, entries)
-    vocabulary = multihot.fit_vocabulary(named, "names")
-    names = multihot.vocabulary_names(vocabulary, "names")
-    media = fit_dictionary(named, ["media"])
-    coded = media.transform(named)
-    index = fit_frequency_index(coded, list(MULTI_HOT_INDEXED))
-    flag_index = None
+    """Fit the multi-hot cleaning in one scan: every vocabulary, dictionary and
+    index follows from the counts of values.
+
+    Flags pass through as 0/1. ``index_flags`` gives them frequency indices
+    like the other columns: 0 is then the commoner of the two values.
+    """
+    codes = taxonomy_map(taxonomy)
+    counts = value_counts(_multi_hot_base(requests, codes), MULTI_HOT_INDEXED, ["names"])
+    fitted = dictionary_of(counts, ["media", "names"])
+    names = multihot.vocabulary_names(fitted, "names")
+    recoded = fitted.mapping.filter("feature = 'media'").select(
+        "feature", F.col("code").cast("string").alias("value"), "n"
+    )
+    counts = counts.filter("feature not in ('media', 'names')").unionByName(recoded)
+    flipped = frozenset()
     if index_flags:
-        flags = multihot.multi_hot(named, "names", names).select(*multihot.column_names(names))
-        flag_index = fit_frequency_index(flags, flags.columns)
-    return MultiHotModel(taxonomy, entries, media, index, names, flag_index)
+        common = fitted.mapping.filter(
+            (F.col("feature") == "names") & (2 * F.col("n") > fitted.stats["media"].rows)
+        )
+        flipped = frozenset(row["value"] for row in common.collect())
+    return MultiHotModel(
+        codes, fitted.only("media"), frequency_index_of(counts, MULTI_HOT_INDEXED), names, flipped
+    )
 
 
 def train(
