@@ -145,10 +145,10 @@ def d3_indices(spark, sf_dir):
       from bids left join named on bids.impid = named.impid left join vocabulary using (name) group by bids.impid""",
 )
 def d3_indices_joined(spark, sf_dir):
-    """The way taken for a vocabulary too long for the plan."""
+    """The way taken for a vocabulary too long to broadcast."""
     named = named_requests(spark, sf_dir)
     vocabulary = multihot.fit_vocabulary(named, "names")
-    indexed = multihot.element_indices(named, "names", vocabulary, "impid", "indices", literal_entries=0)
+    indexed = multihot.element_indices(named, "names", vocabulary, "impid", "indices", 0, 0)
     return indexed.select("impid", F.array_join(F.col("indices").cast("array<string>"), " ").alias("indices"))
 
 

@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 32 * 1024 * 1024
 # A value holding this share of the rows is hot; there are at most 1 / share.
 HOT_SHARE = 1 / 512
-# Shuffle keys over which the rows of hot values are spread.
-SALTS = 1024
 # Values looked up in the expression itself, without a join.
 INLINE_VALUES = 64
 # Elements looked up through a literal array in the plan.
@@ -50,7 +48,7 @@ def lookup(
     its measured size. Null is a value like any other; values not in the mapping
     get ``default``. A mapping too large to broadcast is joined by shuffle, its
     hot values looked up beforehand in a broadcast of at most 1/HOT_SHARE rows,
-    and the rows so answered spread over salts. Values that are hot only in
+    and the rows so answered spread by a hash of the row. Values that are hot only in
     ``df`` are split by adaptive skew-join handling.
     """
     out = out or column
@@ -63,34 +61,42 @@ def lookup(
     is_hot = F.col("n") >= F.lit(max(2.0, HOT_SHARE * total_rows))
     hot = mapping.filter(is_hot).select(F.col("value").alias("__h"), F.col("code").alias("__hot"))
     cold = mapping.filter(~is_hot).select(
-        F.col("value").alias("__v"), F.col("code").alias("__cold"), F.lit(0).alias("__zero")
+        F.col("value").alias("__v"), F.col("code").alias("__cold"), F.xxhash64("value").alias("__of")
     )
     answered = df.join(F.broadcast(hot), value.eqNullSafe(F.col("__h")), "left")
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int") + 1
-    salted = answered.withColumn(
-        "__salt", F.when(F.col("__hot").isNotNull(), spread).otherwise(F.lit(0))
-    )
-    joined = salted.join(
-        cold,
-        value.eqNullSafe(F.col("__v")) & (F.col("__salt") == F.col("__zero")),
-        "left",
+    # The second join key: of the value, but of the whole row where the value
+    # is answered. A constant in its place would be folded out of the keys.
+    spread = F.when(F.col("__hot").isNotNull(), F.xxhash64(*df.columns)).otherwise(F.xxhash64(value))
+    keyed = answered.withColumn("__key", spread)
+    joined = keyed.join(
+        cold, value.eqNullSafe(F.col("__v")) & (F.col("__key") == F.col("__of")), "left"
     )
     coded = joined.withColumn(out, F.coalesce("__hot", "__cold", default))
-    return coded.drop("__h", "__hot", "__salt", "__v", "__cold", "__zero")
+    return coded.drop("__h", "__hot", "__key", "__v", "__cold", "__of")
 
 
 @dataclass(frozen=True)
 class ElementMap:
-    """A table (value, code), and its rows where they are few."""
+    """A table (value, code, n), its rows where they are few, and its size."""
 
     table: DataFrame
     rows: list[tuple] | None
+    size_bytes: int
+    total_rows: int
 
     @classmethod
-    def of(cls, table: DataFrame, literal_entries: int = LITERAL_ENTRIES) -> ElementMap:
+    def of(
+        cls, table: DataFrame, literal_entries: int = LITERAL_ENTRIES, total_rows: int = 0
+    ) -> ElementMap:
+        """``n`` counts the rows a value was seen in, of ``total_rows``; a table
+        without it has no values known to be hot."""
+        if "n" not in table.columns:
+            table = table.withColumn("n", F.lit(0))
         rows = table.select("value", "code").limit(literal_entries + 1).collect()
-        few = len(rows) <= literal_entries
-        return cls(table, [tuple(row) for row in rows] if few else None)
+        if len(rows) <= literal_entries:
+            return cls(table, [tuple(row) for row in rows], 0, total_rows)
+        size = table.agg(F.sum(F.octet_length("value") + F.octet_length(F.col("code").cast("string")) + 64))
+        return cls(table, None, size.first()[0], total_rows)
 
     def find(self, element: Column) -> Column:
         """The code of one element, null where there is none."""
@@ -109,28 +115,35 @@ def lookup_elements(
     otherwise: Callable[[Column], Column],
     key: str,
     out: str,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Fill ``out`` with the codes of an array's elements, in their order.
 
     ``otherwise`` maps an element that has no code. A short map goes into the
-    plan as two constant arrays and stays in the projection; a long one is
-    joined to the exploded elements, which are put together again by the unique
-    ``key``, so a group is never larger than one row's array. Null arrays stay
-    null, empty ones empty.
+    plan as two constant arrays and stays in the projection. A long one is
+    looked up for the exploded elements, as ``lookup`` does, and these are put
+    together again by the unique ``key``, so a group is never larger than one
+    row's array. Null arrays stay null, empty ones empty.
     """
     if elements.rows is not None:
         return df.withColumn(
             out, F.transform(column, lambda e: F.coalesce(elements.find(e), otherwise(e)))
         )
     exploded = df.select(key, F.posexplode(column).alias("__pos", "__element"))
-    table = elements.table.select(F.col("value").alias("__v"), F.col("code").alias("__c"))
-    coded = exploded.join(table, F.col("__element") == F.col("__v"), "left").select(
-        key, "__pos", F.coalesce("__c", otherwise(F.col("__element"))).alias("__c")
+    coded = lookup(
+        exploded,
+        "__element",
+        elements.table,
+        otherwise(F.col("__element")),
+        elements.size_bytes,
+        elements.total_rows,
+        "__c",
+        broadcast_bytes,
     )
     in_order = F.array_sort(F.collect_list(F.struct("__pos", "__c")))
-    arrays = coded.groupBy(F.col(key).alias("__key")).agg(
+    arrays = coded.groupBy(F.col(key).alias("__row")).agg(
         F.transform(in_order, lambda pair: pair["__c"]).alias("__codes")
     )
     empty = F.when(F.col(column).isNotNull(), F.array().cast(arrays.schema["__codes"].dataType))
-    joined = df.join(arrays, F.col(key) == F.col("__key"), "left")
-    return joined.withColumn(out, F.coalesce("__codes", empty)).drop("__key", "__codes")
+    joined = df.join(arrays, F.col(key) == F.col("__row"), "left")
+    return joined.withColumn(out, F.coalesce("__codes", empty)).drop("__row", "__codes")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from adclick.functions.interests import sql_text
 from adclick.operators.encoders import ValueEncoder, fit_dictionary
-from adclick.operators.lookup import LITERAL_ENTRIES, ElementMap, lookup_elements
+from adclick.operators.lookup import BROADCAST_BYTES, LITERAL_ENTRIES, ElementMap, lookup_elements
 
 
 def fit_vocabulary(df: DataFrame, column: str) -> ValueEncoder:
@@ -35,12 +35,13 @@ def element_indices(
     key: str,
     out: str,
     literal_entries: int = LITERAL_ENTRIES,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Fill ``out`` with the indices of the elements; unknown ones are 0."""
     mapping = vocabulary.mapping_of(column).withColumn("code", F.col("code").cast("bigint"))
     unknown = F.lit(0).cast("bigint")
-    elements = ElementMap.of(mapping, literal_entries)
-    return lookup_elements(df, column, elements, lambda _: unknown, key, out)
+    elements = ElementMap.of(mapping, literal_entries, vocabulary.stats[column].rows)
+    return lookup_elements(df, column, elements, lambda _: unknown, key, out, broadcast_bytes)
 
 
 def column_names(names: Sequence[str], prefix: str = "interest_") -> list[str]:
