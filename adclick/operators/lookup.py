@@ -137,12 +137,12 @@ def lookup_elements(
         otherwise(F.col("__element")),
         elements.size_bytes,
         elements.total_rows,
-        "__c",
+        "__found",
         broadcast_bytes,
     )
-    in_order = F.array_sort(F.collect_list(F.struct("__pos", "__c")))
+    in_order = F.array_sort(F.collect_list(F.struct("__pos", "__found")))
     arrays = coded.groupBy(F.col(key).alias("__row")).agg(
-        F.transform(in_order, lambda pair: pair["__c"]).alias("__codes")
+        F.transform(in_order, lambda pair: pair["__found"]).alias("__codes")
     )
     empty = F.when(F.col(column).isNotNull(), F.array().cast(arrays.schema["__codes"].dataType))
     joined = df.join(arrays, F.col(key) == F.col("__row"), "left")
