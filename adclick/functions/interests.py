@@ -11,6 +11,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adclick.functions.constants import sql_array
+
 CATEGORIES = range(1, 27)
 
 # Top-level names of the public IAB content taxonomy.
@@ -92,27 +94,18 @@ def taxonomy_rows(taxonomy: DataFrame, limit: int = 50_000) -> list[tuple[str, s
     return [(row[0], row[1]) for row in rows]
 
 
-def sql_text(text: str) -> str:
-    """A SQL string constant."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _literals(terms: Sequence[str]) -> str:
-    return f"array({', '.join(map(sql_text, terms))})"
-
-
 def any_contains(text: str, terms: Sequence[str]) -> Column:
     """True where one of the terms occurs in the column named ``text``.
 
     The terms are one constant array: the generated code stays small however
     many there are, and the search ends at the first hit.
     """
-    return F.expr(f"exists({_literals(terms)}, term -> contains({text}, term))")
+    return F.expr(f"exists({sql_array(terms)}, term -> contains({text}, term))")
 
 
 def any_token(tokens: str, category: int, terms: Sequence[str]) -> Column:
     """True where a token is the category's code, lies below it, or is a term."""
-    listed = f"arrays_overlap({tokens}, {_literals(terms)})"
+    listed = f"arrays_overlap({tokens}, {sql_array(terms)})"
     below = f"exists({tokens}, token -> startswith(token, 'iab{category}-'))"
     return F.expr(f"{listed} or {below}")
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from adclick.functions.constants import constant_array
 
 # A dimension is broadcast up to this measured size.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -25,7 +26,7 @@ def inline_lookup(column: str, rows: Sequence[tuple[str | None, float]], default
     of_null = next((code for value, code in rows if value is None), default)
     found = F.lit(None).cast("double")
     if known:
-        values, codes = (F.lit(list(side)) for side in zip(*known, strict=True))
+        values, codes = (constant_array(side) for side in zip(*known, strict=True))
         found = F.get(codes, F.array_position(values, F.col(column).cast("string")).cast("int") - 1)
     coded = F.coalesce(found, F.lit(default))
     return F.when(F.col(column).isNull(), of_null).otherwise(coded)
@@ -103,8 +104,7 @@ class ElementMap:
         kind = self.table.schema["code"].dataType
         if not self.rows:
             return F.lit(None).cast(kind)
-        values = F.lit([value for value, _ in self.rows])
-        codes = F.lit([code for _, code in self.rows]).cast(T.ArrayType(kind))
+        values, codes = (constant_array(side) for side in zip(*self.rows, strict=True))
         return F.get(codes, F.array_position(values, element).cast("int") - 1)
 
 

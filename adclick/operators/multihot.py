@@ -9,7 +9,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adclick.functions.interests import sql_text
+from adclick.functions.constants import sql_constant
 from adclick.operators.encoders import ValueEncoder, fit_dictionary
 from adclick.operators.lookup import BROADCAST_BYTES, LITERAL_ENTRIES, ElementMap, lookup_elements
 
@@ -67,7 +67,7 @@ def multi_hot_columns(column: str, names: Sequence[str], prefix: str = "interest
     the JVM to compile, and every row is interpreted.
     """
     tests = [
-        f"exists({column}, e -> e = {sql_text(name)})" if i == 0 else f"array_contains({column}, {sql_text(name)})"
+        f"exists({column}, e -> e = {sql_constant(name)})" if i == 0 else f"array_contains({column}, {sql_constant(name)})"
         for i, name in enumerate(names)
     ]
     return [
