@@ -230,7 +230,7 @@ def h4_auto(spark, sf_dir):
     return sampling.balance(labelled(spark, sf_dir), "impid", fraction="auto")
 
 
-# --- evaluation: is a long message from the toxic side? quality against toxic
+# --- evaluation: quality read as a prediction of toxicity
 
 
 def judged(spark, sf_dir):
