@@ -6,9 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from adclick.checks import sql as S
-from adclick.checks.encoding import (
-    NAMES, FLAG_LIST, feature_table, model_spec,
-)
+from adclick.checks.encoding import NAMES, feature_table, model_spec
 from adclick.checks.fixture import bids, table, taxonomy, terms
 from adclick.checks.registry import query
 from adclick.checks.scalar import lower_names
