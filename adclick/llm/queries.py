@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adclick.llm.bpe import encode_and_decode
+from adclick.llm.decontaminate import find_benchmark
+from adclick.llm.near_dedup import near_duplicates
 from adclick.llm.registry import QUERIES, SQL, query  # noqa: F401
 from adclick.llm.substring_dedup import remove_repeated
 from adclick.llm.tables import table
@@ -16,3 +20,36 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = remove_repeated(docs, key="doc_id")
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op8_near_dedup")
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of each document."""
+    return near_duplicates(table(spark, sf_dir, "documents"), "doc_id", size=3, percent=85)
+
+
+@query("op9_benchmark_decontamination")
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark words in each document, and the items they come from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_benchmark(docs, table(spark, sf_dir, "benchmark"), window=10)
+    ids = F.coalesce(F.transform("matches", lambda m: m["item_id"]), F.array().cast("array<string>"))
+    ids = F.array_compact(ids)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size(ids).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(ids), ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+        "matches",
+    )
+
+
+@query("op10_bpe")
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's token ids and of the text decoded from them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = encode_and_decode(docs, path, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
