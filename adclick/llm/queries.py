@@ -6,12 +6,118 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adclick.llm import language_id, quality, toxicity
 from adclick.llm.bpe import encode_and_decode
 from adclick.llm.decontaminate import find_benchmark
+from adclick.llm.folds import held_out
+from adclick.llm.merkle import edit_report
 from adclick.llm.near_dedup import near_duplicates
 from adclick.llm.registry import QUERIES, SQL, query  # noqa: F401
 from adclick.llm.substring_dedup import remove_repeated
 from adclick.llm.tables import table
+from adclick.llm.url_filter import Rule, judge
+
+#: The rules for pages.
+RULES = (
+    Rule("allow", "com", "/"),
+    Rule("block", "example.com", "/en/"),
+    Rule("allow", "www.example.com", "/en/"),
+    Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/"),
+)
+
+
+@query("op1_fingerprints")
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of each document and of its edited copy."""
+    return edit_report(table(spark, sf_dir, "documents"))
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability that each document is of good quality."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = held_out("doc_id", 5, 0)
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), "doc_id", ~apart)
+    found = quality.score(docs, model)
+    return found.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability that each document is toxic."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    apart = held_out("doc_id", 5, 0)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), "doc_id", ~apart)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+_OP4_SQL = """
+with parts as (
+  select page_id, url,
+    case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest
+  from pages),
+split as (
+  select page_id, url, translate(regexp_extract(rest, '^[^/?#]*', 0),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+  from parts),
+ruled as (
+  select *, case
+      when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/')
+        then 'www.example.com/en/'
+      when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/')
+        then 'example.com/en/'
+      when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/es/') then 'net/es/'
+      when (host = 'net' or ends_with(host, '.net')) and starts_with(path, '/fr/') then 'net/fr/'
+      when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/') then 'com/'
+    end as rule
+  from split),
+judged as (
+  select *, case when rule in ('www.example.com/en/', 'com/') then 'allow' when rule is not null then 'block' end as kind
+  from ruled),
+urls as (select distinct coalesce(url, '') as url, kind from judged),
+padded as (select url, kind, concat('^^^', url, '$') as p from urls),
+places as (select url, kind, p, unnest(range(1, length(p) - 2)) as i from padded),
+groups as (select url, kind, substr(p, i, 4) as g from places),
+counts as (
+  select g, count(*) filter (kind = 'allow') as a, count(*) filter (kind = 'block') as r from groups group by g),
+total as (select sum(a) as ta, sum(r) as tr, count(distinct substr(g, 4, 1)) as v from counts),
+p0 as (
+  select substr(g, 4, 1) as g, (sum(a) + 1.0) / (any_value(ta) + any_value(v)) as pa,
+    (sum(r) + 1.0) / (any_value(tr) + any_value(v)) as pr
+  from counts, total group by 1),
+g1 as (select substr(g, 3, 2) as g, sum(a) as a, sum(r) as r from counts group by 1),
+p1 as (
+  select x.g, (x.a + p.pa) / (sum(x.a) over w + 1.0) as pa, (x.r + p.pr) / (sum(x.r) over w + 1.0) as pr
+  from g1 x join p0 p on p.g = substr(x.g, 2) window w as (partition by substr(x.g, 1, 1))),
+g2 as (select substr(g, 2, 3) as g, sum(a) as a, sum(r) as r from counts group by 1),
+p2 as (
+  select x.g, (x.a + p.pa) / (sum(x.a) over w + 1.0) as pa, (x.r + p.pr) / (sum(x.r) over w + 1.0) as pr
+  from g2 x join p1 p on p.g = substr(x.g, 2) window w as (partition by substr(x.g, 1, 2))),
+p3 as (
+  select x.g, (x.a + p.pa) / (sum(x.a) over w + 1.0) as pa, (x.r + p.pr) / (sum(x.r) over w + 1.0) as pr
+  from counts x join p2 p on p.g = substr(x.g, 2) window w as (partition by substr(x.g, 1, 3))),
+scores as (
+  select url, kind, avg(ln(pa) - ln(pr)) as score from groups join p3 using (g) group by url, kind),
+sides as (
+  select avg(score) filter (kind = 'allow') as ma, stddev_pop(score) filter (kind = 'allow') + 1e-9 as sa,
+    avg(score) filter (kind = 'block') as mr, stddev_pop(score) filter (kind = 'block') + 1e-9 as sr
+  from scores),
+free as (select url, score from scores where kind is null)
+select j.page_id, j.host, j.path, j.rule,
+  coalesce(j.kind, case when ma is null or mr is null or f.score >= (ma * sr + mr * sa) / (sa + sr)
+    then 'allow' else 'block' end) as verdict
+from judged j cross join sides left join free f on j.kind is null and f.url = coalesce(j.url, '')
+"""
+
+
+@query("op4_url_filters", _OP4_SQL)
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on each page's URL, by rule or by language model."""
+    judged = judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 @query("op6_substring_dedup")
@@ -53,3 +159,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = encode_and_decode(docs, path, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    apart = held_out("doc_id", 4, 2)
+    network = language_id.fit(docs, "doc_id", ~apart)
+    found = language_id.identify(docs.drop("lang"), network)
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
