@@ -17,9 +17,9 @@ exact links.
    component is lost, whichever of them was the star's centre.
 5. The components of the true links are the classes.
 
-With ``BANDS`` bands of ``ROWS`` rows, two sets at the threshold of 0.85 share
-no band with a probability below one in a million. Hashes of shingles have 64
-bits and stand for the shingles.
+There are as many bands of ``ROWS`` rows as it takes that two sets just at the
+threshold share none with a probability below one in a million. Hashes of
+shingles have 64 bits and stand for the shingles.
 
 Null and empty texts, and such without words, are linked with nothing. Rows
 with the same id and rows with equal texts are in one class. A null id is in
@@ -43,18 +43,11 @@ from adclick.llm.graph import components
 from adclick.llm.words import NOT_SPACE, chunks, mix, scan, window_hashes
 from adclick.sources.scratch import materialise
 
-BANDS, ROWS = 24, 5
+ROWS = 5
+MISS = 1e-6
 # Shingles of one block; a task compares at most two blocks.
 BLOCK_SHINGLES = 1_000_000
 
-_BINS = BANDS * ROWS
-_rng = np.random.default_rng(8)
-_EDGES = np.array([(i << 64) // _BINS for i in range(_BINS)], dtype=np.uint64)
-_ORDER = np.argsort(_rng.random((_BINS, _BINS)), axis=1)
-_FACTORS = _rng.integers(1, 2**63, size=ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_SEEDS = _rng.integers(1, 2**63, size=(BANDS,), dtype=np.uint64)
-
-
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """For each text the ascending distinct hashes of its shingles; the whole
     sequence is one shingle where there are fewer words."""
@@ -72,45 +65,59 @@ def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """One minimum for each bin of a set that is not empty."""
-    at = np.searchsorted(shingles, _EDGES)
-    ends = np.append(at[1:], len(shingles))
-    full = ends > at
-    values = shingles[np.minimum(at, len(shingles) - 1)] - _EDGES
-    empty = np.flatnonzero(~full)
-    if len(empty):
-        donors = _ORDER[empty]
-        first = full[donors].argmax(axis=1)
-        values[empty] = values[donors[np.arange(len(empty)), first]]
-    return values
-
-
-def bands(signatures: np.ndarray) -> np.ndarray:
-    """One hash for each band of each row of signatures."""
-    parts = signatures.reshape(len(signatures), BANDS, ROWS) * _FACTORS
-    return mix(parts.sum(axis=2, dtype=np.uint64) + _SEEDS)
-
-
-def _marks(text: str, size: int, schema: pa.Schema):
+class OnePermutation:
+    """Signatures and bands of sets of 64-bit hashes."""
+
+    def __init__(self, bands: int, rows: int = ROWS):
+        self.bands, self.rows, self.bins = bands, rows, bands * rows
+        rng = np.random.default_rng(8)
+        self.edges = np.array([(i << 64) // self.bins for i in range(self.bins)], dtype=np.uint64)
+        self.order = np.argsort(rng.random((self.bins, self.bins)), axis=1)
+        self.factors = rng.integers(1, 2**63, size=rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.seeds = rng.integers(1, 2**63, size=bands, dtype=np.uint64)
+
+    @staticmethod
+    def for_threshold(percent: int) -> OnePermutation:
+        return OnePermutation(max(1, int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** ROWS))))))
+
+    def signature(self, shingles: np.ndarray) -> np.ndarray:
+        """One minimum for each bin of a set that is not empty."""
+        at = np.searchsorted(shingles, self.edges)
+        ends = np.append(at[1:], len(shingles))
+        full = ends > at
+        values = shingles[np.minimum(at, len(shingles) - 1)] - self.edges
+        empty = np.flatnonzero(~full)
+        if len(empty):
+            donors = self.order[empty]
+            first = full[donors].argmax(axis=1)
+            values[empty] = values[donors[np.arange(len(empty)), first]]
+        return values
+
+    def keys(self, signatures: np.ndarray) -> np.ndarray:
+        """One hash for each band of each row of signatures."""
+        parts = signatures.reshape(len(signatures), self.bands, self.rows) * self.factors
+        return mix(parts.sum(axis=2, dtype=np.uint64) + self.seeds)
+
+
+def _marks(text: str, size: int, percent: int, schema: pa.Schema):
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layout = OnePermutation.for_threshold(percent)
+        none = np.zeros(layout.bins, np.uint64)
         for piece in chunks(batches, text):
             counts, ids, signatures = [], [], []
             for shingles in shingle_sets(piece.column(text), size):
                 counts.append(len(shingles))
                 ids.append(digest(shingles) if len(shingles) else None)
-                signatures.append(signature(shingles) if len(shingles) else np.zeros(_BINS, np.uint64))
-            keys = bands(np.array(signatures, np.uint64).reshape(-1, _BINS)).view(np.int64)
-            offsets = pa.array(np.arange(len(counts) + 1) * BANDS, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    piece.column("key").cast(schema.field("key").type),
-                    pa.array(counts, pa.int64()),
-                    pa.array(ids, pa.binary()),
-                    pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())).cast(schema.field("bands").type),
-                ],
-                schema=schema,
-            )
+                signatures.append(layout.signature(shingles) if len(shingles) else none)
+            keys = layout.keys(np.array(signatures, np.uint64).reshape(-1, layout.bins)).view(np.int64)
+            offsets = pa.array(np.arange(len(counts) + 1) * layout.bands, pa.int32())
+            values = {
+                "n_shingles": pa.array(counts, pa.int64()),
+                "set_id": pa.array(ids, pa.binary()),
+                "bands": pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
+            }
+            columns = [(values[f.name] if f.name in values else piece.column(f.name)).cast(f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return marks
 
@@ -171,13 +178,17 @@ def _links(text: str, size: int, percent: int, schema: pa.Schema):
     return links
 
 
-def near_duplicates(df: DataFrame, key: str, text: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row of ``df``."""
+def near_duplicates(
+    df: DataFrame, key: str, text: str = "text", size: int = 5, percent: int = 80, row: str | None = None
+) -> DataFrame:
+    """(key, n_shingles, component_id, kept) for each row of ``df``, and its
+    column ``row`` if one is named."""
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = docs.schema["key"].dataType
-    fields = [("key", kind), ("n_shingles", T.LongType()), ("set_id", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))]
-    schema = T.StructType([T.StructField(n, t) for n, t in fields])
-    marks = materialise(docs.mapInArrow(_marks("text", size, to_arrow_schema(schema)), schema), "marks")
+    rows = docs if row is None else df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(row).alias("row"))
+    added = [("n_shingles", T.LongType()), ("set_id", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))]
+    own = [f for f in rows.schema.fields if f.name != "text"]
+    schema = T.StructType([*own, *[T.StructField(n, t) for n, t in added]])
+    marks = materialise(rows.mapInArrow(_marks("text", size, percent, to_arrow_schema(schema)), schema), "marks")
 
     nodes = (
         marks.where("set_id is not null")
@@ -187,12 +198,15 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", size: int = 3,
     )
     nodes = materialise(nodes, "nodes")
     members = nodes.select("node", F.explode("bands").alias("band"))
+    # written down, as adaptive execution splits a hot key only of two plain tables
     heads = members.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+    heads = materialise(heads.select("band", "head"), "heads")
     stars = members.join(heads, "band").select(F.col("head").alias("a"), F.col("node").alias("b"))
     candidates = components(stars).withColumnRenamed("component", "group")
 
     grouped = nodes.join(candidates, "node").select("group", "set_id", "key", "n_shingles")
     sizes = grouped.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    sizes = materialise(sizes, "sizes")
     own = F.pmod(F.hash("set_id"), F.col("blocks"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))
@@ -208,11 +222,12 @@ def near_duplicates(df: DataFrame, key: str, text: str = "text", size: int = 3,
 
     named = nodes.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.select("set_id", "key", "n", "component", F.col("component").isNotNull().alias("linked"))
+    named = materialise(named, "named")
     least = named.where("linked").groupBy("component").agg(F.min("key").alias("component_id"))
     shared = named.join(least, "component", "left").where("linked or n > 1")
-    shared = shared.select("set_id", F.coalesce("component_id", "key").alias("component_id"))
+    shared = materialise(shared.select("set_id", F.coalesce("component_id", "key").alias("component_id")), "classes")
     out = marks.drop("bands").join(shared, "set_id", "left")
     component = F.coalesce("component_id", "key")
-    return out.select(
-        F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept")
-    )
+    kept = F.col("key").eqNullSafe(component).alias("kept")
+    named = [] if row is None else [F.col("row").alias(row)]
+    return out.select(F.col("key").alias(key), *named, "n_shingles", component.alias("component_id"), kept)
