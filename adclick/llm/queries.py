@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adclick.llm import language_id, quality, toxicity
+from adclick.llm import language_id, license_scan, quality, toxicity
 from adclick.llm.bpe import encode_and_decode
 from adclick.llm.decontaminate import find_benchmark
 from adclick.llm.folds import held_out
@@ -120,6 +120,21 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op5_license_scans")
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence families stated in each document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.scan_licenses(docs, license_scan.fit(docs, "doc_id"))
+    families = F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["family"])))
+    return found.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("licenses").cast("bigint").alias("n_licensed"),
+        F.array_join(families, ",").alias("families"),
+        F.round(F.array_max(F.transform("licenses", lambda x: x["score"])), 6).alias("score"),
+    )
+
+
 @query("op6_substring_dedup")
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left of each document after repeated windows are removed."""
