@@ -155,7 +155,7 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             union = sizes + sizes[here] - both
             found = np.flatnonzero(unseen & (100 * both >= percent * union))
             unseen[found] = False
-            forest.extend((int(here), int(x)) for x in found)
+            forest.extend((int(root), int(x)) for x in found)
             queue.extend(found.tolist())
     return forest
 
