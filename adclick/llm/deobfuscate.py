@@ -148,13 +148,16 @@ def stretches(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return starts, ends, starts
     wide = np.concatenate([data, np.full(2, 0x20, np.uint8)])
     letter, sign, gap = _LETTER[wide], _SIGN[wide], _GAP_BYTE[wide]
-    mark = np.zeros(len(data) + 1, bool)
-    mark[:-1] = sign[:-2] & letter[1:-1]
-    mark[1:-1] |= letter[:-3] & _LAST_SIGN[wide[1:-2]] & (wide[2:-1] != wide[1:-2])
+    inner = np.ones(len(data) + 2, bool)  # the next byte is of the same text
+    inner[words.offsets[1:][words.offsets[1:] > 0] - 1] = False
     folded = wide | np.uint8(0x20)
-    mark[:-1] |= letter[:-2] & (wide[:-2] < 0x80) & (folded[:-2] == folded[1:-1]) & (folded[1:-1] == folded[2:])
+    mark = np.zeros(len(data) + 1, bool)
+    mark[:-1] = sign[:-2] & letter[1:-1] & inner[:-2]
+    mark[1:-1] |= letter[:-3] & inner[:-3] & _LAST_SIGN[wide[1:-2]] & ((wide[2:-1] != wide[1:-2]) | ~inner[1:-2])
+    triple = (folded[:-2] == folded[1:-1]) & (folded[1:-1] == folded[2:]) & inner[:-2] & inner[1:-1]
+    mark[:-1] |= letter[:-2] & (wide[:-2] < 0x80) & triple
     spread = np.zeros(len(data) + 1, bool)
-    spread[1:-1] = gap[1:-2] & letter[:-3] & letter[2:-1]
+    spread[1:-1] = gap[1:-2] & letter[:-3] & letter[2:-1] & inner[:-3] & inner[1:-2]
     total = np.concatenate([[0], np.cumsum(mark)])
     flagged = total[ends] > total[starts]
     total = np.concatenate([[0], np.cumsum(spread)])
