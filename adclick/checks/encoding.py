@@ -113,7 +113,7 @@ vocabulary as (select name, row_number() over (order by name) as code from (sele
 def named_requests(spark, sf_dir):
     parts = bids(spark, sf_dir).select("impid", I.split_interests(F.col("interests")).alias("parts"))
     codes = jobs.taxonomy_map(taxonomy(spark, sf_dir))
-    return jobs.interest_names(parts, "parts", codes, "impid", "names").drop("parts")
+    return jobs.interest_names(parts, "parts", codes, "names").drop("parts")
 
 
 @query(
@@ -135,7 +135,7 @@ def d3(spark, sf_dir):
 def d3_indices(spark, sf_dir):
     named = named_requests(spark, sf_dir)
     vocabulary = multihot.fit_vocabulary(named, "names")
-    indexed = multihot.element_indices(named, "names", vocabulary, "impid", "indices")
+    indexed = multihot.element_indices(named, "names", vocabulary, "indices")
     return indexed.select("impid", F.array_join(F.col("indices").cast("array<string>"), " ").alias("indices"))
 
 
@@ -148,7 +148,7 @@ def d3_indices_joined(spark, sf_dir):
     """The way taken for a vocabulary too long to broadcast."""
     named = named_requests(spark, sf_dir)
     vocabulary = multihot.fit_vocabulary(named, "names")
-    indexed = multihot.element_indices(named, "names", vocabulary, "impid", "indices", 0, 0)
+    indexed = multihot.element_indices(named, "names", vocabulary, "indices", 0, 0)
     return indexed.select("impid", F.array_join(F.col("indices").cast("array<string>"), " ").alias("indices"))
 
 

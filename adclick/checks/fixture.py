@@ -68,13 +68,21 @@ def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The public top level, and nations as the first subcategories."""
+    """The public top level, nations as the first subcategories, and below them
+    the names of parts and of their kinds: over 400 rows, as a full taxonomy has."""
     top = spark.createDataFrame(TOP_LEVEL, TAXONOMY)
     below = table(spark, sf_dir, "nation").select(
         F.concat(F.lit("IAB"), (F.col("n_nationkey") + 1).cast("string"), F.lit("-1")).alias("Interest"),
         F.col("n_name").alias("Description"),
     )
-    return top.unionByName(below)
+    part = table(spark, sf_dir, "part")
+    kinds = [F.col("p_name"), F.concat_ws(" ", "p_brand", "p_type"), F.concat_ws(" ", "p_type", "p_size")]
+    names = part.select(F.explode(F.array(*kinds)).alias("name")).distinct()
+    parts = names.select(
+        F.concat(F.lit("IAB"), (F.length("name") % 26 + 1).cast("string"), F.lit("-"), F.col("name")).alias("Interest"),
+        F.col("name").alias("Description"),
+    )
+    return top.unionByName(below).unionByName(parts)
 
 
 def terms(spark: SparkSession, sf_dir: str) -> dict[int, list[str]]:

@@ -216,7 +216,9 @@ query("j3_rf_embeddings")(_embedding_report("rf"))
 
 # --- composite jobs
 
-REPORT = """counts as (select c, count_if(label = c and prediction = c) as hits, count_if(label = c) as actual,
+REPORT = f"""held as (select label, round(p, 12) as score, prediction from scored where not train),
+  area as ({AUC_SCORE.replace('from scored', 'from held')}),
+  counts as (select c, count_if(label = c and prediction = c) as hits, count_if(label = c) as actual,
     count_if(prediction = c) as predicted
   from scored, (select distinct label as c from scored where not train) where not train group by c)
 select metric, label, round(value, 6) as value from (
@@ -224,7 +226,13 @@ select metric, label, round(value, 6) as value from (
   union all select 'test_error', null, 1 - sum(hits)::double / sum(actual) from counts
   union all select 'precision', c, coalesce(hits::double / nullif(predicted, 0), 0) from counts
   union all select 'recall', c, hits::double / actual from counts
-  union all select 'auc_hard', null, sum(hits::double / actual) / 2 from counts)"""
+  union all select 'auc_hard', null, sum(hits::double / actual) / 2 from counts
+  union all select 'auc_score', null, auc from area
+  union all select 'predicted_' || prediction::int, label, count(*)::double from held group by all
+  union all select 'train_rows', null, count(*)::double from balanced
+  union all select 'train_positives', null, count_if(label = 1)::double from balanced
+  union all select 'test_rows', null, count(*)::double from held
+  union all select 'test_positives', null, count_if(label = 1)::double from held)"""
 
 
 @query("l3_nb_train_evaluate", f"with {S.naive_bayes()}, {REPORT}")

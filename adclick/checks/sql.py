@@ -2,7 +2,60 @@
 
 from __future__ import annotations
 
-from adclick.functions.interests import HEAD_WORDS, TOP_LEVEL
+# The public top-level names, and the words searched in place of
+# compound names, written out here so that a slip in the library shows.
+_TOP_LEVEL = """values
+    ('IAB1', 'Arts & Entertainment'),
+    ('IAB2', 'Automotive'),
+    ('IAB3', 'Business'),
+    ('IAB4', 'Careers'),
+    ('IAB5', 'Education'),
+    ('IAB6', 'Family & Parenting'),
+    ('IAB7', 'Health & Fitness'),
+    ('IAB8', 'Food & Drink'),
+    ('IAB9', 'Hobbies & Interests'),
+    ('IAB10', 'Home & Garden'),
+    ('IAB11', 'Law & Government & Politics'),
+    ('IAB12', 'News'),
+    ('IAB13', 'Personal Finance'),
+    ('IAB14', 'Society'),
+    ('IAB15', 'Science'),
+    ('IAB16', 'Pets'),
+    ('IAB17', 'Sports'),
+    ('IAB18', 'Style & Fashion'),
+    ('IAB19', 'Technology & Computing'),
+    ('IAB20', 'Travel'),
+    ('IAB21', 'Real Estate'),
+    ('IAB22', 'Shopping'),
+    ('IAB23', 'Religion & Spirituality'),
+    ('IAB24', 'Uncategorized'),
+    ('IAB25', 'Non-Standard Content'),
+    ('IAB26', 'Illegal Content')"""
+_HEAD_WORDS = """values
+    ('arts & entertainment', 'arts'),
+    ('arts & entertainment', 'entertainment'),
+    ('books & literature', 'books'),
+    ('books & literature', 'literature'),
+    ('family & parenting', 'family'),
+    ('family & parenting', 'parenting'),
+    ('health & fitness', 'health'),
+    ('health & fitness', 'fitness'),
+    ('food & drink', 'food'),
+    ('food & drink', 'drink'),
+    ('hobbies & interests', 'hobbies'),
+    ('hobbies & interests', 'interest'),
+    ('home & garden', 'home'),
+    ('home & garden', 'garden'),
+    ('law & government & politics', 'law'),
+    ('law & government & politics', 'politics'),
+    ('pets', 'pet'),
+    ('sports', 'sport'),
+    ('style & fashion', 'style'),
+    ('style & fashion', 'fashion'),
+    ('technology & computing', 'technology'),
+    ('technology & computing', 'computing'),
+    ('religion & spirituality', 'religion'),
+    ('religion & spirituality', 'spirituality')"""
 
 BIDS = """bids as (
   select case when k % 2 = 0 then 'site' else 'app' end as apporsite,
@@ -36,6 +89,7 @@ OS_FAMILY = """case when lower(os) like '%android%' then 'android' when lower(os
 DAY_PART = """case when hour(ts) < 6 then 0.0 when hour(ts) < 12 then 1.0
     when hour(ts) < 17 then 3.0 when hour(ts) < 24 then 4.0 else 5.0 end::double"""
 
+# The sizes of each bucket.
 SIZE_BUCKET = """(case
     when size in ('[380, 214]', '[358, 201]', '[343, 193]', '[288, 162]', '[291, 164]', '[300, 169]',
       '[569, 320]', '[600, 350]', '[328, 185]', '[640, 360]', '[306, 172]', '[1280, 720]') then 0
@@ -51,18 +105,15 @@ def unit(key: str, salt: str) -> str:
     return f"(cast({digits} as bigint)::double / 4503599627370496::double)"
 
 
-def _values(rows) -> str:
-    quote = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return "values " + ", ".join("(" + ", ".join(quote(x) for x in row) + ")" for row in rows)
-
-
 TAXONOMY = f"""taxonomy as (
-  select * from ({_values(TOP_LEVEL)}) t(code, name)
-  union all select 'IAB' || cast(n_nationkey + 1 as varchar) || '-1', n_name from nation)"""
+  select * from ({_TOP_LEVEL}) t(code, name)
+  union all select 'IAB' || cast(n_nationkey + 1 as varchar) || '-1', n_name from nation
+  union all select 'IAB' || cast(length(name) % 26 + 1 as varchar) || '-' || name, name from (
+    select p_name as name from part union select p_brand || ' ' || p_type from part
+    union select p_type || ' ' || cast(p_size as varchar) from part))"""
 
-_HEADS = [(name, word) for name, words in HEAD_WORDS.items() for word in words]
 TERMS = f"""{TAXONOMY},
-heads as (select * from ({_values(_HEADS)}) t(name, word)),
+heads as (select * from ({_HEAD_WORDS}) t(name, word)),
 terms as (
   select distinct cast(regexp_extract(code, '^IAB([0-9]+)', 1) as int) as k,
     coalesce(word, lower(taxonomy.name)) as term

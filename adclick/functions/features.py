@@ -109,8 +109,8 @@ def predicted_click(prediction: Column) -> Column:
 
 
 def class_text(label: Column) -> Column:
-    """The class as an ANOVA group name."""
-    return F.when(label == 1.0, "true").otherwise("false")
+    """The class as an ANOVA group name; null without a class."""
+    return F.when(label == 1.0, "true").when(label.isNotNull(), "false")
 
 
 def square(value: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adclick.functions.constants import sql_array
+from adclick.functions.constants import constant_array, sql_array
 
 CATEGORIES = range(1, 27)
 
@@ -94,13 +94,54 @@ def taxonomy_rows(taxonomy: DataFrame, limit: int = 50_000) -> list[tuple[str, s
     return [(row[0], row[1]) for row in rows]
 
 
-def any_contains(text: str, terms: Sequence[str]) -> Column:
-    """True where one of the terms occurs in the column named ``text``.
+def _prefix_tree(terms: Iterable[str]) -> str:
+    """A pattern for the longest term at a place: common beginnings are shared,
+    so a search tries each character of the text against one branch."""
+    tree: dict = {}
+    for term in terms:
+        node = tree
+        for char in term:
+            node = node.setdefault(char, {})
+        node[""] = {}
 
-    The terms are one constant array: the generated code stays small however
-    many there are, and the search ends at the first hit.
+    def pattern(node: dict) -> str:
+        branches = [_quoted(char) + pattern(below) for char, below in sorted(node.items()) if char]
+        if not branches:
+            return ""
+        inner = branches[0] if len(branches) == 1 and "" not in node else f"(?:{'|'.join(branches)})"
+        return f"{inner}?" if "" in node else inner
+
+    return pattern(tree)
+
+
+def _quoted(char: str) -> str:
+    return char if char.isalnum() else f"\\x{{{ord(char):x}}}"
+
+
+def categories_found(text: Column, terms: Terms) -> Column:
+    """Bit k is set where a term of category k occurs in the text.
+
+    One search finds the longest term at every place; each distinct hit stands
+    for all terms it begins with, and their categories are joined. So the cost
+    does not grow with the number of terms. Null text has no hit.
     """
-    return F.expr(f"exists({sql_array(terms)}, term -> contains({text}, term))")
+    masks: dict[str, int] = {}
+    for category, listed in terms.items():
+        for term in listed:
+            masks[term] = masks.get(term, 0) | 1 << category
+    always = masks.pop("", 0)  # an empty term is in every text
+    if not masks:
+        return F.when(text.isNotNull(), F.lit(always)).otherwise(F.lit(0)).cast("bigint")
+    within = {}
+    for term in masks:
+        within[term] = 0
+        for end in range(1, len(term) + 1):
+            within[term] |= masks.get(term[:end], 0)
+    hits = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_prefix_tree(masks)}))"), F.lit(1)))
+    known, bits = constant_array(within), constant_array(within.values())
+    each = F.transform(hits, lambda hit: F.get(bits, F.array_position(known, hit).cast("int") - 1))
+    found = F.aggregate(each, F.lit(always).cast("bigint"), lambda held, bit: held.bitwiseOR(bit))
+    return F.coalesce(found, F.lit(0).cast("bigint"))
 
 
 def any_token(tokens: str, category: int, terms: Sequence[str]) -> Column:
@@ -140,7 +181,8 @@ def tag(
     form is computed once per row, in the projection below the flags.
     """
     if mode == "substring":
-        held, test = interest_text(F.col(column)), lambda k: any_contains("__searched", terms[k])
+        held = categories_found(interest_text(F.col(column)), terms)
+        test = lambda k: F.col("__searched").bitwiseAND(F.lit(1 << k)) != 0
     elif mode == "token":
         held, test = interest_tokens(F.col(column)), lambda k: any_token("__searched", k, terms[k])
     else:

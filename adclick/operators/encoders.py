@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from adclick.operators import lookup as L
 from adclick.operators.ordering import ROWS_PER_TASK, running_totals
-from adclick.sources.scratch import materialise
+from adclick.sources.scratch import discard, materialise
 from adclick.sources.settings import read_json, write_json
 
 MAPPING = T.StructType(
@@ -157,12 +157,14 @@ def _ranked(
     mapping = ranked.select(
         "value", "n", (F.col("code") + (first - 1)).cast("double").alias("code"), "feature"
     )
+    written = materialise(mapping, "mapping", ("feature",))
+    discard(ranked)
     stats = {}
     for column in columns:
         row = sizes.get(column)
         values, rows, size = (row["values"], row["rows"], row["size_bytes"]) if row else (0, 0, 0)
         stats[column] = FeatureStats(values, rows, size, float(values) if unseen_after_last else 0.0)
-    return ValueEncoder(materialise(mapping, "mapping", ("feature",)), stats)
+    return ValueEncoder(written, stats)
 
 
 def dictionary_of(
@@ -187,7 +189,10 @@ def fit_dictionary(
 ) -> ValueEncoder:
     """Codes 1, 2, 3 … in value order. Null is a value and comes first; values
     not seen here are coded 0."""
-    return dictionary_of(value_counts(df, columns), columns, rows_per_task)
+    counts = value_counts(df, columns)
+    encoder = dictionary_of(counts, columns, rows_per_task)
+    discard(counts)
+    return encoder
 
 
 def fit_frequency_index(
@@ -195,4 +200,7 @@ def fit_frequency_index(
 ) -> ValueEncoder:
     """Codes 0, 1, 2 … from the most frequent value down, ties in value order.
     Null and values not seen here share the code after the last."""
-    return frequency_index_of(value_counts(df, columns), columns, rows_per_task)
+    counts = value_counts(df, columns)
+    encoder = frequency_index_of(counts, columns, rows_per_task)
+    discard(counts)
+    return encoder

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adclick.functions.constants import constant_array
+from adclick.sources.scratch import materialise
 
 # A dimension is broadcast up to this measured size.
 BROADCAST_BYTES = 32 * 1024 * 1024
@@ -90,9 +91,11 @@ class ElementMap:
         cls, table: DataFrame, literal_entries: int = LITERAL_ENTRIES, total_rows: int = 0
     ) -> ElementMap:
         """``n`` counts the rows a value was seen in, of ``total_rows``; a table
-        without it has no values known to be hot."""
+        without it has no values known to be hot. A value listed twice has its
+        least code, however long the table is."""
         if "n" not in table.columns:
             table = table.withColumn("n", F.lit(0))
+        table = table.groupBy("value").agg(F.min("code").alias("code"), F.sum("n").alias("n"))
         rows = table.select("value", "code").limit(literal_entries + 1).collect()
         if len(rows) <= literal_entries:
             return cls(table, [tuple(row) for row in rows], 0, total_rows)
@@ -113,23 +116,24 @@ def lookup_elements(
     column: str,
     elements: ElementMap,
     otherwise: Callable[[Column], Column],
-    key: str,
     out: str,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Fill ``out`` with the codes of an array's elements, in their order.
 
     ``otherwise`` maps an element that has no code. A short map goes into the
-    plan as two constant arrays and stays in the projection. A long one is
-    looked up for the exploded elements, as ``lookup`` does, and these are put
-    together again by the unique ``key``, so a group is never larger than one
-    row's array. Null arrays stay null, empty ones empty.
+    plan as two constant arrays and stays in the projection. For a long one the
+    rows are numbered and written down, as their own keys may be null or
+    repeated; the exploded elements are looked up, as ``lookup`` does, and put
+    together again by that number, so a group is never larger than one row's
+    array. Null arrays stay null, empty ones empty.
     """
     if elements.rows is not None:
         return df.withColumn(
             out, F.transform(column, lambda e: F.coalesce(elements.find(e), otherwise(e)))
         )
-    exploded = df.select(key, F.posexplode(column).alias("__pos", "__element"))
+    numbered = materialise(df.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    exploded = numbered.select("__row", F.posexplode(column).alias("__pos", "__element"))
     coded = lookup(
         exploded,
         "__element",
@@ -141,9 +145,9 @@ def lookup_elements(
         broadcast_bytes,
     )
     in_order = F.array_sort(F.collect_list(F.struct("__pos", "__found")))
-    arrays = coded.groupBy(F.col(key).alias("__row")).agg(
+    arrays = coded.groupBy("__row").agg(
         F.transform(in_order, lambda pair: pair["__found"]).alias("__codes")
     )
     empty = F.when(F.col(column).isNotNull(), F.array().cast(arrays.schema["__codes"].dataType))
-    joined = df.join(arrays, F.col(key) == F.col("__row"), "left")
+    joined = numbered.join(arrays, "__row", "left")
     return joined.withColumn(out, F.coalesce("__codes", empty)).drop("__row", "__codes")

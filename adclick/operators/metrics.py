@@ -78,7 +78,7 @@ def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction"
 
 def auc_hard(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """One row: area under ROC of the 0/1 predictions, (1 + TPR - FPR) / 2;
-    null where a class is absent."""
+    null where a class is absent or there are others than 0 and 1."""
     counts = confusion(df, label, prediction).agg(
         *[
             F.sum(F.when(F.expr(test), F.col("n")).otherwise(0)).cast("double").alias(name)
@@ -87,11 +87,12 @@ def auc_hard(df: DataFrame, label: str = "label", prediction: str = "prediction"
                 ("p", "label = 1"),
                 ("fp", "label = 0 and prediction = 1"),
                 ("f", "label = 0"),
+                ("others", "label not in (0, 1) or prediction not in (0, 1)"),
             )
         ]
     )
     tpr, fpr = ratio(F.col("tp"), F.col("p")), ratio(F.col("fp"), F.col("f"))
-    return counts.select(((1.0 + tpr - fpr) / 2.0).alias("auc"))
+    return counts.select(F.when(F.col("others") == 0, (1.0 + tpr - fpr) / 2.0).alias("auc"))
 
 
 def auc_score(
@@ -126,8 +127,9 @@ def auc_score(
 
 
 def report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """All hold-out metrics as (metric, label, value), from one scan: accuracy,
-    test_error, auc_hard, and precision and recall of each class."""
+    """All hold-out metrics as (metric, label, value): accuracy, test_error,
+    auc_hard (null unless the classes are 0 and 1), precision and recall of each
+    class of the truth, and the confusion counts as ``predicted_<class>``."""
     hits, actual, predicted = (F.col(c).cast("double") for c in ("hits", "actual", "predicted"))
     binary = F.col("class").isin(0.0, 1.0)
 
@@ -142,11 +144,17 @@ def report(df: DataFrame, label: str = "label", prediction: str = "prediction")
         item("test_error", every, actual - hits, actual),
         item("precision", F.col("class"), hits, predicted),
         item("recall", F.col("class"), hits, actual),
-        item("auc_hard", every, F.when(binary, hits / actual).otherwise(0.0), binary.cast("double")),
     )
+    # any class besides 0 and 1, in truth or prediction, takes the count off two
+    area = item(
+        "auc_hard",
+        every,
+        F.when(binary & (actual > 0), hits / actual).otherwise(0.0),
+        F.when(binary, (actual > 0).cast("double")).otherwise(3.0),
+    )
+    items = F.when(actual > 0, F.array_append(items, area)).otherwise(F.array(area))
     sums = (
         class_statistics(df, label, prediction)
-        .filter("actual > 0")
         .select(F.explode(items).alias("i"))
         .select("i.*")
         .groupBy("metric", "label")
@@ -154,4 +162,9 @@ def report(df: DataFrame, label: str = "label", prediction: str = "prediction")
     )
     halves = F.when(F.col("whole") == 2.0, F.col("part") / 2.0)
     value = F.when(F.col("metric") == "auc_hard", halves).otherwise(_share(F.col("part"), F.col("whole")))
-    return sums.select("metric", "label", value.alias("value"))
+    cells = confusion(df, label, prediction).select(
+        F.concat(F.lit("predicted_"), F.format_string("%.0f", "prediction")).alias("metric"),
+        "label",
+        F.col("n").cast("double").alias("value"),
+    )
+    return sums.select("metric", "label", value.alias("value")).unionByName(cells)

@@ -20,11 +20,9 @@ def fit_vocabulary(df: DataFrame, column: str) -> ValueEncoder:
     return fit_dictionary(elements, [column])
 
 
-def vocabulary_names(vocabulary: ValueEncoder, column: str, limit: int = 10_000) -> list[str]:
-    """The names in code order. They become columns, so more than ``limit`` are
-    refused; ``lookup_elements`` and ``multi_hot_vector`` have no columns."""
-    if vocabulary.stats[column].values > limit:
-        raise ValueError(f"{vocabulary.stats[column].values} names are too many for columns")
+def vocabulary_names(vocabulary: ValueEncoder, column: str) -> list[str]:
+    """The names in code order, as a model keeps them. A vector takes any number
+    of them; ``multi_hot`` makes each a column and is meant for few."""
     return [r[0] for r in vocabulary.mapping_of(column).orderBy("code").select("value").collect()]
 
 
@@ -32,7 +30,6 @@ def element_indices(
     df: DataFrame,
     column: str,
     vocabulary: ValueEncoder,
-    key: str,
     out: str,
     literal_entries: int = LITERAL_ENTRIES,
     broadcast_bytes: int = BROADCAST_BYTES,
@@ -41,7 +38,7 @@ def element_indices(
     mapping = vocabulary.mapping_of(column).withColumn("code", F.col("code").cast("bigint"))
     unknown = F.lit(0).cast("bigint")
     elements = ElementMap.of(mapping, literal_entries, vocabulary.stats[column].rows)
-    return lookup_elements(df, column, elements, lambda _: unknown, key, out, broadcast_bytes)
+    return lookup_elements(df, column, elements, lambda _: unknown, out, broadcast_bytes)
 
 
 def column_names(names: Sequence[str], prefix: str = "interest_") -> list[str]:

@@ -64,6 +64,8 @@ def running_totals(
     joined = local.join(
         F.broadcast(offsets), local[by].eqNullSafe(offsets["__by"]) & (local["__range"] == offsets["__of"])
     )
-    return joined.select(
+    result = joined.select(
         *df.columns, *[(F.col(n) + F.col(f"__sum_{n}")).alias(n) for n in totals]
     )
+    result.scratch = ranged.scratch  # may be discarded once the result is written
+    return result

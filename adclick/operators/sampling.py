@@ -8,12 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from adclick.functions.hashing import unit_hash
 
 
+def _row_unit(df: DataFrame, key: str, salt: str) -> Column:
+    """The number of each row: of its key, or of the whole row where the key is
+    null, so that rows without a key are sampled like others. Maps, which have
+    no order, do not count."""
+    whole = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return F.coalesce(unit_hash(F.col(key), salt), unit_hash(F.xxhash64(*whole), salt))
+
+
 def hash_split(
     df: DataFrame, key: str, weights: Sequence[float] = (0.8, 0.2), seed: int = 36
 ) -> list[DataFrame]:
@@ -33,7 +42,7 @@ def stratified_sample(
     df: DataFrame, label: str, fractions: Mapping[float, float], key: str, seed: int = 36
 ) -> DataFrame:
     """Keep each class at its fraction; classes not named, and null, go."""
-    unit = unit_hash(F.col(key), f"stratum{seed}")
+    unit = _row_unit(df, key, f"stratum{seed}")
     keep = F.lit(False)
     for value, fraction in fractions.items():
         chosen = F.lit(True) if fraction >= 1.0 else unit < fraction
@@ -58,7 +67,7 @@ def balancing_fraction(df: DataFrame, label: str = "label") -> float:
 
 def downsample(df: DataFrame, fraction: float, key: str, seed: int = 36) -> DataFrame:
     """Keep this share of the rows, without replacement."""
-    return df.filter(unit_hash(F.col(key), f"down{seed}") < fraction)
+    return df.filter(_row_unit(df, key, f"down{seed}") < fraction)
 
 
 def balance(
@@ -73,5 +82,5 @@ def balance(
     One filter over one scan gives the rows of the union of both classes.
     """
     share = balancing_fraction(df, label) if fraction == "auto" else float(fraction)
-    chosen = unit_hash(F.col(key), f"down{seed}") < share
+    chosen = _row_unit(df, key, f"down{seed}") < share
     return df.filter((F.col(label) == 1.0) | ((F.col(label) == 0.0) & chosen))

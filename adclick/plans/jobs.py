@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ from adclick.operators.encoders import (
 from adclick.operators.lookup import LITERAL_ENTRIES, ElementMap, lookup_elements
 from adclick.plans import models
 from adclick.sources.schema import FeatureSpec
+from adclick.sources.scratch import discard, materialise
 from adclick.sources.settings import read_json, write_json
 
 # Columns coded by dictionary. The last two are near-unique: no model uses
@@ -117,11 +119,19 @@ class MultiHotModel:
     names: Sequence[str]
     flipped: frozenset[str] = frozenset()
 
-    def transform(self, requests: DataFrame) -> DataFrame:
-        """(impid, labelIndex, <column>Index …, interest_… , features)."""
+    def transform(self, requests: DataFrame, wide: bool = False) -> DataFrame:
+        """(impid, labelIndex, <column>Index …, features), the interest flags
+        being the sparse end of ``features``; ``wide`` also gives each a column,
+        which is meant for few names. Flipped flags are always wide."""
         named = self.media.transform(_multi_hot_base(requests, self.taxonomy))
         indexed = self.index.transform(named, suffix="Index")
         inputs = [f"{c}Index" for c in MULTI_HOT_INDEXED if c != "label"]
+        if not wide and not self.flipped:
+            if self.names:
+                indexed = multihot.multi_hot_vector(indexed, "names", self.names, "__flags")
+            flags = ["__flags"] if self.names else []
+            assembler = VectorAssembler(inputCols=[*inputs, *flags], outputCol="features")
+            return assembler.transform(indexed.select("impid", "labelIndex", *inputs, *flags)).drop("__flags")
         flags = [
             (1 - flag if name in self.flipped else flag).alias(column)
             for name, column, flag in zip(
@@ -131,13 +141,13 @@ class MultiHotModel:
                 strict=True,
             )
         ]
-        wide = indexed.select("impid", "labelIndex", *inputs, *flags)
-        assembler = VectorAssembler(inputCols=wide.columns[2:], outputCol="features")
-        return assembler.transform(wide)
+        table = indexed.select("impid", "labelIndex", *inputs, *flags)
+        assembler = VectorAssembler(inputCols=table.columns[2:], outputCol="features")
+        return assembler.transform(table)
 
 
 def taxonomy_map(taxonomy: DataFrame, literal_entries: int = LITERAL_ENTRIES) -> ElementMap:
-    """Lower-case names by interest code."""
+    """Lower-case names by interest code; of several names the least."""
     return ElementMap.of(
         taxonomy.filter(I.has_code(F.col("Interest"))).select(
             F.col("Interest").alias("value"), F.lower("Description").alias("code")
@@ -150,7 +160,6 @@ def interest_names(
     df: DataFrame,
     column: str,
     taxonomy: ElementMap,
-    key: str,
     out: str,
     strict: bool = False,
 ) -> DataFrame:
@@ -166,7 +175,7 @@ def interest_names(
         failure = F.raise_error(F.concat(F.lit("unknown interest code "), part)).cast("string")
         return F.when(I.has_code(part), failure).otherwise(F.lower(part))
 
-    named = lookup_elements(df, column, taxonomy, unknown, key, out)
+    named = lookup_elements(df, column, taxonomy, unknown, out)
     empty = F.array().cast("array<string>")
     return named.withColumn(out, F.coalesce(F.array_distinct(out), empty))
 
@@ -186,7 +195,7 @@ def _multi_hot_base(requests: DataFrame, taxonomy: ElementMap) -> DataFrame:
         "user",
         I.split_interests(F.col("interests")).alias("parts"),
     )
-    return interest_names(parts, "parts", taxonomy, "impid", "names").drop("parts")
+    return interest_names(parts, "parts", taxonomy, "names").drop("parts")
 
 
 def fit_multi_hot(
@@ -224,19 +233,48 @@ def train(
     seed: int = 12345,
     negative_fraction: float | str = 0.03,
     split_seed: int = 36,
+    **settings,
 ) -> tuple[PipelineModel, DataFrame]:
     """Hold out 20 % by hash of the key, balance the rest, fit, evaluate.
 
-    Returns the model and its hold-out metrics. The test part keeps its class
-    ratio. Rows without a label take no part.
+    The features are written down once; balancing, fitting and scoring read
+    them from there. Returns the model and its report: the hold-out metrics of
+    ``metrics.report``, ``auc_score`` of the probability of class 1, and rows
+    and positives of both parts. The test part keeps its class ratio. Rows
+    without a label take no part.
     """
     labelled = sampling.stratified_sample(
         spec.select(table), spec.label, {1.0: 1.0, 0.0: 1.0}, spec.key, split_seed
     )
+    labelled = materialise(labelled, "features")
     train_part, test_part = sampling.hash_split(labelled, spec.key, (0.8, 0.2), split_seed)
     balanced = sampling.balance(train_part, spec.key, spec.label, negative_fraction, split_seed)
-    model = models.fit_model(balanced, spec, kind, seed)
-    return model, metrics.report(models.score(model, test_part, spec), spec.label)
+    model = models.fit_model(balanced, spec, kind, seed, **settings)
+    probability = F.round(vector_to_array("probability")[1], 12)
+    scored = models.score(model, test_part, spec).select(
+        F.col(spec.label).alias("label"), "prediction", probability.alias("score")
+    )
+    scored = materialise(scored, "scored")
+    counts = [_part_counts(balanced, spec.label, "train"), _part_counts(scored, "label", "test")]
+    area = metrics.auc_score(scored).select(
+        F.lit("auc_score").alias("metric"), F.lit(None).cast("double").alias("label"), F.col("auc").alias("value")
+    )
+    report = metrics.report(scored)
+    for more in (*counts, area):
+        report = report.unionByName(more)
+    report = materialise(report, "report")
+    discard(labelled, scored)
+    return model, report
+
+
+def _part_counts(part: DataFrame, label: str, name: str) -> DataFrame:
+    """Rows and positives of one part, as report rows."""
+    items = [
+        F.struct(F.lit(f"{name}_{c}").alias("metric"), F.col(n).cast("double").alias("value"))
+        for c, n in (("rows", "n"), ("positives", "positives"))
+    ]
+    rows = sampling.class_counts(part, label).select(F.explode(F.array(*items)).alias("i"))
+    return rows.select("i.metric", F.lit(None).cast("double").alias("label"), "i.value")
 
 
 def save_predictor(

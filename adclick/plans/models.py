@@ -27,21 +27,26 @@ from adclick.sources.settings import read_json, write_json
 KINDS = ("nb", "lr", "rf", "dt")
 
 
-def classifier(kind: str, label: str = "label", seed: int = 12345):
-    """Naive Bayes, logistic regression, random forest or decision tree with
-    the settings the job has always used."""
-    common = {"featuresCol": "features", "labelCol": label}
-    if kind == "nb":
-        return NaiveBayes(smoothing=1.0, modelType="multinomial", **common)
-    if kind == "lr":
-        return LogisticRegression(maxIter=1000, regParam=0.3, **common)
-    if kind == "rf":
-        return RandomForestClassifier(
-            numTrees=64, featureSubsetStrategy="auto", seed=seed, **common
-        )
-    if kind == "dt":
-        return DecisionTreeClassifier(seed=seed, **common)
-    raise ValueError(f"unknown model kind {kind!r}; one of {KINDS}")
+# The settings the job has always used.
+SETTINGS = {
+    "nb": {"smoothing": 1.0, "modelType": "multinomial"},
+    "lr": {"maxIter": 1000, "regParam": 0.3},
+    "rf": {"numTrees": 64, "featureSubsetStrategy": "auto"},
+    "dt": {},
+}
+_CLASSIFIERS = {
+    "nb": NaiveBayes, "lr": LogisticRegression, "rf": RandomForestClassifier, "dt": DecisionTreeClassifier,
+}
+
+
+def classifier(kind: str, label: str = "label", seed: int = 12345, **settings):
+    """Naive Bayes, logistic regression, random forest or decision tree;
+    ``settings`` of ``pyspark.ml`` go before the usual ones."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown model kind {kind!r}; one of {KINDS}")
+    seeded = {"seed": seed} if kind in ("rf", "dt") else {}
+    chosen = SETTINGS[kind] | seeded | settings
+    return _CLASSIFIERS[kind](featuresCol="features", labelCol=label, **chosen)
 
 
 def assemble(df: DataFrame, spec: FeatureSpec, invalid: str = "error") -> DataFrame:
@@ -52,15 +57,33 @@ def assemble(df: DataFrame, spec: FeatureSpec, invalid: str = "error") -> DataFr
     ).transform(df)
 
 
-def fit_model(train: DataFrame, spec: FeatureSpec, kind: str, seed: int = 12345) -> PipelineModel:
+# Bagging follows the place of each row, so forests are fitted on a fixed
+# number of partitions, dealt by key and sorted.
+FOREST_PARTITIONS = 64
+
+
+def fit_model(
+    train: DataFrame,
+    spec: FeatureSpec,
+    kind: str,
+    seed: int = 12345,
+    partitions: int = FOREST_PARTITIONS,
+    **settings,
+) -> PipelineModel:
     """Fit on the rows of ``train``. They are held while the fit iterates, so
-    the work upstream is done once."""
-    held = spec.select(train).persist(StorageLevel.MEMORY_AND_DISK)
+    the work upstream is done once; naive Bayes reads them once anyway. A forest
+    is the same however the rows were partitioned."""
+    stages = [
+        VectorAssembler(inputCols=list(spec.columns), outputCol="features"),
+        classifier(kind, spec.label, seed, **settings),
+    ]
+    rows = spec.select(train)
+    if kind == "nb":
+        return Pipeline(stages=stages).fit(rows)
+    if kind in ("rf", "dt"):
+        rows = rows.repartition(partitions, spec.key).sortWithinPartitions(spec.key, *spec.columns, spec.label)
+    held = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stages = [
-            VectorAssembler(inputCols=list(spec.columns), outputCol="features"),
-            classifier(kind, spec.label, seed),
-        ]
         return Pipeline(stages=stages).fit(held)
     finally:
         held.unpersist()
