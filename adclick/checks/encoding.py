@@ -188,7 +188,10 @@ def d5(spark, sf_dir):
 
 
 def feature_table(spark, sf_dir, coded=jobs.CODED):
-    requests = bids(spark, sf_dir)
+    return feature_table_of(spark, sf_dir, bids(spark, sf_dir), coded)
+
+
+def feature_table_of(spark, sf_dir, requests, coded=jobs.CODED):
     return jobs.fit_features(requests, terms(spark, sf_dir), coded).transform(requests)
 
 
@@ -261,6 +264,45 @@ def e3(spark, sf_dir):
     return named_requests(spark, sf_dir).select("impid", F.array_join("names", "|").alias("names"))
 
 
+# Requests some of which have no key and some the same one.
+ODD_KEY = "case cast(bids.impid as bigint) % 5 when 0 then null when 1 then 'again' else bids.impid end"
+
+
+def odd_keys(requests):
+    number = F.col("impid").cast("bigint") % 5
+    key = F.when(number == 0, None).when(number == 1, "again").otherwise(F.col("impid"))
+    return requests.withColumn("impid", key)
+
+
+def _odd_names(literal_entries):
+    def run(spark, sf_dir):
+        requests = odd_keys(bids(spark, sf_dir))
+        parts = requests.select("impid", I.split_interests(F.col("interests")).alias("parts"))
+        codes = jobs.taxonomy_map(taxonomy(spark, sf_dir), literal_entries)
+        named = jobs.interest_names(parts, "parts", codes, "names")
+        return named.select("impid", F.array_join("names", "|").alias("names"))
+
+    return run
+
+
+_ODD_NAMES = f"""with {NAMES} select {ODD_KEY} as impid, coalesce(string_agg(name, '|' order by pos), '') as names
+  from bids left join named on bids.impid = named.impid group by bids.impid"""
+query("e3_taxonomy_names_odd_keys", _ODD_NAMES)(_odd_names(1024))
+query("e3_taxonomy_names_odd_keys_joined", _ODD_NAMES)(_odd_names(0))
+
+
+@query(
+    "d3_interest_indices_odd_keys",
+    f"""with {NAMES} select {ODD_KEY} as impid, coalesce(string_agg(cast(code as varchar), ' ' order by pos), '') as indices
+      from bids left join named on bids.impid = named.impid left join vocabulary using (name) group by bids.impid""",
+)
+def d3_indices_odd_keys(spark, sf_dir):
+    named = odd_keys(named_requests(spark, sf_dir))
+    vocabulary = multihot.fit_vocabulary(named, "names")
+    indexed = multihot.element_indices(named, "names", vocabulary, "indices", 0, 0)
+    return indexed.select("impid", F.array_join(F.col("indices").cast("array<string>"), " ").alias("indices"))
+
+
 # --- joins
 
 

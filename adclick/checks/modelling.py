@@ -17,13 +17,13 @@ from adclick.sources.schema import FeatureSpec
 from adclick.sources.scratch import scratch_path
 
 
-def trained(spark, sf_dir, kind, fraction=0.03):
+def trained(spark, sf_dir, kind, fraction=0.03, spec=None, **settings):
     """Feature table, spec and a model of the balanced training part."""
     features = feature_table(spark, sf_dir)
-    spec = model_spec(features)
+    spec = spec or model_spec(features)
     train_part, test_part = sampling.hash_split(spec.select(features), spec.key)
     balanced = sampling.balance(train_part, spec.key, fraction=fraction)
-    return features, spec, models.fit_model(balanced, spec, kind), test_part
+    return features, spec, models.fit_model(balanced, spec, kind, **settings), test_part
 
 
 @query(
@@ -190,6 +190,49 @@ def j6(spark, sf_dir):
     return _probabilities("lr")(spark, sf_dir)
 
 
+# Small models that SQL can fit as well: one tree with one cut, without
+# bootstrap and on all features, and logistic regression on one feature.
+STUMP = {"maxDepth": 1}
+ONE_TREE = {"maxDepth": 1, "numTrees": 1, "bootstrap": False, "featureSubsetStrategy": "all"}
+EXACT = {"tol": 1e-12}
+ONE_FEATURE = FeatureSpec(("publisher",))
+_STUMP_SQL, _LOGIT_SQL = f"with {S.stump(S.AUTO_FRACTION)}", f"with recursive {S.logit('publisher', S.AUTO_FRACTION)}"
+
+
+def _small_scores(kind, spec, settings, digits, saved=False):
+    def run(spark, sf_dir):
+        features, used, model, _ = trained(spark, sf_dir, kind, "auto", spec, **settings)
+        if saved:
+            path = scratch_path(spark, "model")
+            models.save_model(model, used, path)
+            model, used = models.load_model(spark, path)
+        scored = models.score(model, features, used)
+        p = F.round(vector_to_array("probability")[1], digits).alias("p")
+        return scored.select("request_key", "label", "prediction", p)
+
+    return run
+
+
+for _name, _kind, _spec, _settings, _sql, _digits in (
+    ("j3_rf_one_tree", "rf", None, ONE_TREE, _STUMP_SQL, 9),
+    ("j4_dt_stump", "dt", None, STUMP, _STUMP_SQL, 9),
+    ("j6_lr_one_feature", "lr", ONE_FEATURE, EXACT, _LOGIT_SQL, 4),
+):
+    _scores = f"{_sql} select request_key, label, prediction, round(p, {_digits}) as p from scored"
+    query(f"{_name}_scores", _scores)(_small_scores(_kind, _spec, _settings, _digits))
+    query(f"a6_loaded_{_kind}_scores", _scores)(_small_scores(_kind, _spec, _settings, _digits, saved=True))
+
+
+@query(
+    "j2_lr_one_feature_coefficients",
+    f"""{_LOGIT_SQL} select 1::double as class, 'intercept' as feature, round(b, 3) as weight from fitted
+      union all select 1, 'publisher', round(w, 3) from fitted""",
+)
+def j2_small(spark, sf_dir):
+    _, spec, model, _ = trained(spark, sf_dir, "lr", "auto", ONE_FEATURE, **EXACT)
+    return rounded(models.lr_coefficients(model, spec), "weight", digits=3)
+
+
 def _embedding_report(kind):
     """Ten classes told apart by the components of their embeddings."""
 
@@ -268,26 +311,40 @@ query("l3_lr_train_evaluate")(_train_evaluate("lr"))
 query("l3_rf_train_evaluate")(_train_evaluate("rf"))
 
 
-def _predict(kind):
+def _small_report(kind, spec, settings):
+    def run(spark, sf_dir):
+        features = feature_table(spark, sf_dir)
+        used = spec or model_spec(features)
+        return rounded(jobs.train(features, used, kind, negative_fraction="auto", **settings)[1], "value")
+
+    return run
+
+
+query("l3_lr_one_feature", f"{_LOGIT_SQL}, {REPORT}")(_small_report("lr", ONE_FEATURE, EXACT))
+query("l3_rf_one_tree", f"{_STUMP_SQL}, {REPORT}")(_small_report("rf", None, ONE_TREE))
+query("l3_dt_stump", f"{_STUMP_SQL}, {REPORT}")(_small_report("dt", None, STUMP))
+
+
+def _predict(kind, spec=None, negative_fraction=0.03, **settings):
     """Train, save everything, load it again and score the raw requests."""
 
     def run(spark, sf_dir):
         requests = bids(spark, sf_dir)
         features = jobs.fit_features(requests, terms(spark, sf_dir))
         table_ = features.transform(requests)
-        spec = model_spec(table_)
-        model, _ = jobs.train(table_, spec, kind)
+        used = spec or model_spec(table_)
+        model, _ = jobs.train(table_, used, kind, negative_fraction=negative_fraction, **settings)
         path = scratch_path(spark, "predictor")
-        jobs.save_predictor(features, model, spec, path)
+        jobs.save_predictor(features, model, used, path)
         return lower_names(jobs.predict(spark, requests, path))
 
     return run
 
 
-query(
-    "l4_predictions",
-    NB + """select prediction = 1 as label, apporsite, bidfloor, city, exchange, impid, interests, media, network,
-      os, publisher, "timestamp", type, "user" from scored join bids on impid = request_key""",
-)(_predict("nb"))
+_PREDICTED = """ select prediction = 1 as label, apporsite, bidfloor, city, exchange, impid, interests, media, network,
+      os, publisher, "timestamp", type, "user" from scored join bids on impid = request_key"""
+query("l4_predictions", NB + _PREDICTED)(_predict("nb"))
+query("l4_predictions_lr_one_feature", _LOGIT_SQL + _PREDICTED)(_predict("lr", ONE_FEATURE, "auto", **EXACT))
+query("l4_predictions_rf_one_tree", _STUMP_SQL + _PREDICTED)(_predict("rf", None, "auto", **ONE_TREE))
 query("l4_predictions_lr")(_predict("lr"))
 query("l4_predictions_rf")(_predict("rf"))

@@ -168,15 +168,62 @@ MODEL_COLUMNS = [
 ]
 
 
-def naive_bayes(fraction: str = "0.03") -> str:
-    """Split, balance and fit naive Bayes by counting; score every request."""
-    columns = ", ".join(f'"{c}"' for c in MODEL_COLUMNS)
+_COLUMNS = ", ".join(f'"{c}"' for c in MODEL_COLUMNS)
+
+
+def parts(fraction: str) -> str:
+    """Split the features and balance the training part."""
     return f"""{FEATURES},
 parts as (select *, {unit('request_key', 'split36')} < 0.8 as train,
     {unit('request_key', 'down36')} as u from features),
 share as (select {fraction} as f from parts where train),
 balanced as (select parts.* from parts cross join (select max(f) as f from share) where train
-    and (label = 1 or (label = 0 and u < f))),
+    and (label = 1 or (label = 0 and u < f)))"""
+
+
+def stump(fraction: str) -> str:
+    """The one cut of one feature that leaves the least Gini impurity."""
+    impurity = "ln * (lp / ln) * (1 - lp / ln) + (n - ln) * ((p - lp) / (n - ln)) * (1 - (p - lp) / (n - ln))"
+    return f"""{parts(fraction)},
+tallies as (select feature, v, count(*)::double as n, count_if(label = 1)::double as p
+  from (select label, name as feature, v from (select label, {_COLUMNS} from balanced)
+    unpivot (v for name in ({_COLUMNS}))) group by feature, v),
+cuts as (select feature, v, sum(n) over w as ln, sum(p) over w as lp, sum(n) over (partition by feature) as n,
+    sum(p) over (partition by feature) as p, lead(v) over w as after
+  from tallies window w as (partition by feature order by v)),
+best as (select feature, v, lp / ln as below, (p - lp) / (n - ln) as above from cuts where after is not null
+  order by round({impurity}, 9), feature, v limit 1),
+sides as (select request_key, train, label, case when long.v <= best.v then below else above end as p
+  from (select request_key, train, label, name as feature, v
+    from (select request_key, train, label, {_COLUMNS} from parts) unpivot (v for name in ({_COLUMNS}))) long
+    join best using (feature)),
+scored as (select *, (p > 0.5)::int::double as prediction from sides)"""
+
+
+def logit(column: str, fraction: str, penalty: float = 0.3) -> str:
+    """Logistic regression on one column by Newton steps over its values; the
+    penalty is on the standardised weight. Needs ``with recursive``."""
+    p = "(1 / (1 + exp(-(b + w * x))))"
+    return f"""{parts(fraction)},
+tallies as (select {column} as x, count(*)::double as n, count_if(label = 1)::double as y from balanced group by 1),
+scale as (select count(*)::double as total, {penalty} * var_samp({column}) as ridge from balanced),
+newton as (
+  select 0 as step, 0::double as b, 0::double as w
+  union all
+  select step + 1, b - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), w - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12)
+  from (select step, b, w, sum(n * {p} - y) / max(total) as g1, sum((n * {p} - y) * x) / max(total) + max(ridge) * w as g2,
+      sum(n * {p} * (1 - {p})) / max(total) as h11, sum(n * {p} * (1 - {p}) * x) / max(total) as h12,
+      sum(n * {p} * (1 - {p}) * x * x) / max(total) + max(ridge) as h22
+    from newton cross join tallies cross join scale where step < 25 group by step, b, w)),
+fitted as (select b, w from newton where step = 25),
+sides as (select request_key, train, label, 1 / (1 + exp(-(b + w * {column}))) as p from parts cross join fitted),
+scored as (select *, (p > 0.5)::int::double as prediction from sides)"""
+
+
+def naive_bayes(fraction: str = "0.03") -> str:
+    """Split, balance and fit naive Bayes by counting; score every request."""
+    columns = _COLUMNS
+    return f"""{parts(fraction)},
 long as (select request_key, train, label, name as feature, v
   from (select request_key, train, label, {columns} from parts)
   unpivot (v for name in ({columns}))),

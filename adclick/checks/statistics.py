@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from adclick.checks import sql as S
-from adclick.checks.encoding import feature_table
+from adclick.checks.encoding import feature_table, feature_table_of
 from adclick.checks.fixture import bids, table
 from adclick.checks.registry import query
 from adclick.checks.scalar import B
@@ -137,6 +137,21 @@ def l5(spark, sf_dir):
     return rounded_anova(jobs.screen(features, "label", L5_COLUMNS))
 
 
+@query(
+    "l5_feature_screening_unlabelled",
+    f"with {S.FEATURES} " + " union all ".join(
+        f"({anova_sql('(select * from features where cast(request_key as bigint) % 3 <> 0)', "case when label = 1 then 'true' else 'false' end", f'"{c.lower()}"', f"'{c}' as feature, ")})"
+        for c in ("bidfloor", "media")
+    ),
+)
+def l5_unlabelled(spark, sf_dir):
+    """A third of the requests has no label and must not count."""
+    requests = bids(spark, sf_dir)
+    labelled_ = F.when(F.col("impid").cast("bigint") % 3 != 0, F.col("label"))
+    features = feature_table_of(spark, sf_dir, requests.withColumn("label", labelled_))
+    return rounded_anova(jobs.screen(features, "label", ["bidfloor", "media"]))
+
+
 @query("g5_distinct_values", B + "select distinct publisher, os from bids")
 def g5(spark, sf_dir):
     return bids(spark, sf_dir).select("publisher", "os").distinct()
@@ -221,6 +236,18 @@ def h4(spark, sf_dir):
     return sampling.balance(labelled(spark, sf_dir), "impid")
 
 
+@query(
+    "h4_balanced_odd_keys",
+    L + """select case when cast(impid as bigint) % 5 = 0 then null else impid end as impid, label
+      from labelled where label in (0, 1)""",
+)
+def h4_odd_keys(spark, sf_dir):
+    """All negatives are asked for, so those without a key stay as well."""
+    rows = labelled(spark, sf_dir)
+    rows = rows.withColumn("impid", F.when(F.col("impid").cast("bigint") % 5 != 0, F.col("impid")))
+    return sampling.balance(rows, "impid", fraction=1.0)
+
+
 @query(
     "h4_balanced_auto",
     L + f""", share as (select {S.AUTO_FRACTION} as f from labelled)
