@@ -25,6 +25,7 @@ import base64
 import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -104,24 +105,34 @@ def _overlap(a: Counter, b: Counter) -> float:
 
 
 def differing(a: str, b: str) -> list[tuple[int, int, int]]:
-    """(section, paragraph, leaf) places at which two fingerprints differ, top
-    down: equal roots have none, and equal sections are not opened."""
+    """(section, paragraph, leaf) places of ``b`` that ``a`` lacks, top down:
+    equal roots have none, sections that both have are not opened, nor are
+    paragraphs. What was taken out is found the other way round."""
     if a[:32] == b[:32]:
         return []
+    old, new = (x.partition(":")[2].split("|") for x in (a, b))
     out = []
-    one, two = (x.partition(":")[2].split("|") for x in (a, b))
-    for s in range(max(len(one), len(two))):
-        p, q = (x[s].split(",") if s < len(x) else [] for x in (one, two))
-        if p == q:
-            continue
-        for k in range(max(len(p), len(q))):
-            x, y = (z[k] if k < len(z) else "" for z in (p, q))
-            for i in range(0, max(len(x), len(y)), 3):
-                if x[i : i + 3] != y[i : i + 3]:
-                    out.append((s, k, i // 3))
+    for old_sections, new_sections in _changed(old, new):
+        before = [p for s in old_sections for p in old[s].split(",")]
+        places = [(s, k, p) for s in new_sections for k, p in enumerate(new[s].split(","))]
+        for old_lines, new_lines in _changed(before, [p for _, _, p in places]):
+            known = Counter(before[k][i : i + 3] for k in old_lines for i in range(0, len(before[k]), 3))
+            for section, k, line in (places[n] for n in new_lines):
+                for i in range(0, len(line), 3):
+                    if known[line[i : i + 3]] > 0:
+                        known[line[i : i + 3]] -= 1
+                    else:
+                        out.append((section, k, i // 3))
     return out
 
 
+def _changed(a: list[str], b: list[str]) -> Iterator[tuple[range, range]]:
+    """The stretches of two sequences that do not match."""
+    for kind, a1, a2, b1, b2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if kind != "equal":
+            yield range(a1, a2), range(b1, b2)
+
+
 _BRANCH = T.StructType([T.StructField(n, T.IntegerType()) for n in ("section", "paragraph", "leaf")])
 
 
