@@ -12,7 +12,7 @@
 
 A window that a third of all documents hold is sent once or twice by each
 bucket, so no shard gets more rows of it than there are buckets. A task holds
-one bucket's documents or one shard's cells; both shrink as ``buckets`` grows,
+one bucket's documents or one shard's cells; both shrink as ``shards`` grows,
 which follows ``spark.sql.shuffle.partitions``. The text is shuffled once, as
 the three uses share one exchange. Lost executors cost a rerun of tasks.
 
@@ -40,6 +40,7 @@ from adclick.llm.words import NOT_SPACE, Words, chunks, scan, whole_windows, win
 WINDOW = 35
 DEPTH = 2  # rows of the sketch
 CELL_BITS = 26  # cells of one row of one shard, as a power of two
+BUCKETS = 2  # for each shard, so that a task holds half as many documents
 
 _BUCKET = "__bucket"
 _MESSAGE = "__to int, __from int, __row int, __blob binary"
@@ -59,7 +60,7 @@ def _cells(first: np.ndarray, second: np.ndarray, shards: int) -> tuple[np.ndarr
     """Of windows with these hash halves: their shards and their cells in each row."""
     shard = (first >> np.uint64(40)) % np.uint64(shards)
     mask = np.uint64(2**CELL_BITS - 1)
-    return shard.astype(np.int64), [(h & mask).astype(np.uint32) for h in (first, second)][:DEPTH]
+    return shard.astype(np.int32), [(h & mask).astype(np.uint32) for h in (first, second)][:DEPTH]
 
 
 def _windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,6 +72,8 @@ def _windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _by_shard(shard: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(shard):
+        return
     order = np.argsort(shard, kind="stable")
     shard, values = shard[order], values[order]
     bounds = np.flatnonzero(np.diff(shard, prepend=-1))
@@ -201,7 +204,7 @@ def _kept(piece: pa.RecordBatch, words: Words, removed: np.ndarray, text: str, s
 
 
 def remove_repeated(
-    df: DataFrame, text: str = "text", key: str | None = None, size: int = WINDOW, buckets: int | None = None
+    df: DataFrame, text: str = "text", key: str | None = None, size: int = WINDOW, shards: int | None = None
 ) -> DataFrame:
     """``df`` with ``n_words``, ``n_removed`` and ``kept_text``: its words that
     no window of ``size`` words found elsewhere covers, joined by one space.
@@ -209,9 +212,10 @@ def remove_repeated(
     ``key`` helps to spread equal texts over the buckets.
     """
     spark = df.sparkSession
-    shards = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = BUCKETS * shards
     df = df.drop("n_words", "n_removed", "kept_text")
-    base = df.withColumn(_BUCKET, bucket_of(text, key, shards))
+    base = df.withColumn(_BUCKET, bucket_of(text, key, buckets))
     by_bucket = base.groupBy(_BUCKET)
     full = (
         by_bucket.applyInArrow(_sketch(text, size, shards), _MESSAGE)
