@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -187,6 +188,23 @@ def d5(spark, sf_dir):
     return models.assemble(features, spec, "keep").select("request_key", *columns)
 
 
+@query(
+    "d5_one_hot_vector",
+    f"""with {S.FEATURES}, codes as (select c from range(0, 1000) t(c))
+      select request_key, bidfloor,
+        (select string_agg(case when c = os then '1' else '0' end, '' order by c) from codes where c <= (select max(os) from features)) || '0' as os,
+        (select string_agg(case when c = media then '1' else '0' end, '' order by c) from codes where c <= (select max(media) from features)) || '0' as media
+      from features""",
+)
+def d5_one_hot(spark, sf_dir):
+    """Two coded columns as flags; the last flag is for codes not seen."""
+    features = feature_table(spark, sf_dir)
+    stages = models.vector_stages(FeatureSpec(("bidfloor", "os", "media")), ["os", "media"])
+    vectors = Pipeline(stages=stages).fit(features).transform(features)
+    flags = {c: F.array_join(F.transform(vector_to_array(f"{c}__hot"), lambda x: x.cast("int").cast("string")), "") for c in ("os", "media")}
+    return vectors.select("request_key", vector_to_array("features")[0].alias("bidfloor"), *[x.alias(c) for c, x in flags.items()])
+
+
 def feature_table(spark, sf_dir, coded=jobs.CODED):
     return feature_table_of(spark, sf_dir, bids(spark, sf_dir), coded)
 

@@ -57,6 +57,30 @@ def a1(spark, sf_dir):
     return lower_names(scanned.select(*ALL, X.size_text(F.col("size")).alias("size")))
 
 
+def broken_requests(spark, sf_dir):
+    """A path of JSON lines of which every seventh breaks off."""
+    path = scratch_path(spark, "requests")
+    line = F.to_json(F.struct("*"))
+    cut = F.when(F.col("impid").cast("bigint") % 7 == 0, F.substring(line, 1, 20)).otherwise(line)
+    bids(spark, sf_dir).select(cut.alias("value")).write.text(path)
+    return path
+
+
+@query("a1_json_readable_lines", B + "select impid, bidfloor, label from bids where cast(impid as bigint) % 7 <> 0")
+def a1_readable(spark, sf_dir):
+    return readers.read_requests(spark, broken_requests(spark, sf_dir)).select("impid", "bidfloor", "label")
+
+
+@query(
+    "a1_json_corrupt_lines",
+    B + "select case when cast(impid as bigint) % 7 <> 0 then impid end as impid, cast(impid as bigint) % 7 = 0 as broken from bids",
+)
+def a1_corrupt(spark, sf_dir):
+    """Lines that cannot be read are kept apart, with their text."""
+    rows = readers.read_requests(spark, broken_requests(spark, sf_dir), corrupt="text")
+    return rows.select("impid", (F.length("text") == 20).eqNullSafe(True).alias("broken"))
+
+
 @query(
     "a2_taxonomy_csv",
     """select concat('IAB', cast(p_partkey % 26 + 1 as varchar), '-', cast(p_partkey as varchar)) as interest,

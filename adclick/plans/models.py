@@ -6,6 +6,7 @@ spec it was trained on.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict
 
 from pyspark import StorageLevel
@@ -16,7 +17,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,6 +58,18 @@ def assemble(df: DataFrame, spec: FeatureSpec, invalid: str = "error") -> DataFr
     ).transform(df)
 
 
+def vector_stages(spec: FeatureSpec, one_hot: Sequence[str] = ()) -> list:
+    """From the columns to ``features``; codes not seen in the fit have a flag
+    of their own, the last."""
+    names = [f"{c}__hot" if c in one_hot else c for c in spec.columns]
+    hot = [c for c in spec.columns if c in one_hot]
+    encoders = []
+    if hot:
+        outputs = [f"{c}__hot" for c in hot]
+        encoders = [OneHotEncoder(inputCols=hot, outputCols=outputs, dropLast=False, handleInvalid="keep")]
+    return [*encoders, VectorAssembler(inputCols=names, outputCol="features")]
+
+
 # Bagging follows the place of each row, so forests are fitted on a fixed
 # number of partitions, dealt by key and sorted.
 FOREST_PARTITIONS = 64
@@ -68,15 +81,14 @@ def fit_model(
     kind: str,
     seed: int = 12345,
     partitions: int = FOREST_PARTITIONS,
+    one_hot: Sequence[str] = (),
     **settings,
 ) -> PipelineModel:
     """Fit on the rows of ``train``. They are held while the fit iterates, so
     the work upstream is done once; naive Bayes reads them once anyway. A forest
-    is the same however the rows were partitioned."""
-    stages = [
-        VectorAssembler(inputCols=list(spec.columns), outputCol="features"),
-        classifier(kind, spec.label, seed, **settings),
-    ]
+    is the same however the rows were partitioned. Coded columns named in
+    ``one_hot`` go in as one flag for each code, not as magnitudes."""
+    stages = [*vector_stages(spec, one_hot), classifier(kind, spec.label, seed, **settings)]
     rows = spec.select(train)
     if kind == "nb":
         return Pipeline(stages=stages).fit(rows)
@@ -111,7 +123,7 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, FeatureSp
     trees (as NaN), and to refuse them for logistic regression."""
     model = PipelineModel.load(f"{path}/pipeline")
     if "LogisticRegression" not in type(model.stages[-1]).__name__:
-        model.stages[0].setHandleInvalid("keep")
+        model.stages[-2].setHandleInvalid("keep")
     return model, FeatureSpec.from_dict(read_json(spark, f"{path}/spec"))
 
 

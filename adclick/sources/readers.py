@@ -3,14 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adclick.sources.schema import BID_REQUEST, TAXONOMY
 
 
-def read_requests(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with the declared schema: one pass, none for inference."""
-    return spark.read.schema(BID_REQUEST).json(path)
+def read_requests(
+    spark: SparkSession, path: str, strict: bool = False, corrupt: str | None = None
+) -> DataFrame:
+    """JSON lines with the declared schema: one pass, none for inference.
+
+    A line that cannot be read fails the job when ``strict``; with ``corrupt``
+    its text is kept in a column of that name, which is null for good lines;
+    otherwise it is left out, so that nothing without an id is scored.
+    """
+    if strict:
+        return spark.read.schema(BID_REQUEST).option("mode", "FAILFAST").json(path)
+    name = corrupt or "_corrupt_record"
+    schema = T.StructType([*BID_REQUEST.fields, T.StructField(name, T.StringType())])
+    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", name).json(path)
+    if corrupt:
+        return rows
+    return rows.where(F.col(name).isNull()).drop(name)
 
 
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
