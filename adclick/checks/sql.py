@@ -182,7 +182,8 @@ balanced as (select parts.* from parts cross join (select max(f) as f from share
 
 
 def stump(fraction: str) -> str:
-    """The one cut of one feature that leaves the least Gini impurity."""
+    """The one cut of one feature that leaves the least Gini impurity; where both
+    sides get the same class, as the library prunes it, there is no cut."""
     impurity = "ln * (lp / ln) * (1 - lp / ln) + (n - ln) * ((p - lp) / (n - ln)) * (1 - (p - lp) / (n - ln))"
     return f"""{parts(fraction)},
 tallies as (select feature, v, count(*)::double as n, count_if(label = 1)::double as p
@@ -191,8 +192,10 @@ tallies as (select feature, v, count(*)::double as n, count_if(label = 1)::doubl
 cuts as (select feature, v, sum(n) over w as ln, sum(p) over w as lp, sum(n) over (partition by feature) as n,
     sum(p) over (partition by feature) as p, lead(v) over w as after
   from tallies window w as (partition by feature order by v)),
-best as (select feature, v, lp / ln as below, (p - lp) / (n - ln) as above from cuts where after is not null
+cut as (select feature, v, lp / ln as below, (p - lp) / (n - ln) as above, p / n as whole from cuts where after is not null
   order by round({impurity}, 9), feature, v limit 1),
+best as (select feature, v, case when (below > 0.5) = (above > 0.5) then whole else below end as below,
+    case when (below > 0.5) = (above > 0.5) then whole else above end as above from cut),
 sides as (select request_key, train, label, case when long.v <= best.v then below else above end as p
   from (select request_key, train, label, name as feature, v
     from (select request_key, train, label, {_COLUMNS} from parts) unpivot (v for name in ({_COLUMNS}))) long
