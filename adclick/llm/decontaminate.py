@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from adclick.llm.words import ALNUM, chunks, scan
 
 WINDOW = 10
-SHARD_BYTES = 4_000_000
+SHARD_BYTES = 2_000_000
 BLOCK_BYTES = 16_000_000
 
 _BITS = 21

@@ -12,6 +12,7 @@ bytes for each byte of the longest text or of ``CHUNK_BYTES``.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -19,7 +20,13 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text taken into one set of arrays; a longer text is taken alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
+
+# A worker runs many stages, and the C library keeps freed arrays below a bound
+# that it raises by itself up to 32 MB. Held down, they go back to the system.
+_M_MMAP_THRESHOLD = -3
+if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
+    _libc.mallopt(_M_MMAP_THRESHOLD, 1 << 20)
 
 _SPACE = [0x20, *range(0x09, 0x0E)]
 #: Everything but space, tab, line feed, vertical tab, form feed and return.
