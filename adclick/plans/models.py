@@ -71,8 +71,8 @@ def vector_stages(spec: FeatureSpec, one_hot: Sequence[str] = ()) -> list:
 
 
 # Bagging follows the place of each row, so forests are fitted on a fixed
-# number of partitions, dealt by key and sorted.
-FOREST_PARTITIONS = 64
+# number of partitions, dealt by key and sorted; more of them for large tables.
+FOREST_PARTITIONS = 16
 
 
 def fit_model(
