@@ -1,9 +1,10 @@
 """Restoring disguised words by a noisy channel.
 
-A stretch of text that may be disguised (look-alike digits and signs beside
-letters, letters drawn apart, letters repeated three times or more) becomes a
-lattice: each sign may stand for one of a few letters or for itself, a gap may
-be nothing or a gap, a run of one letter may be one or two. The path that is
+A stretch of text that may be disguised (look-alike digits and signs in a word
+with letters, letters drawn apart, letters repeated three times or more) becomes
+a lattice: each sign may stand for one of a few letters or for itself, a gap may
+be nothing or a gap, a run of one letter may be one or two. Numbers apart from
+letters and marks after a word are cheap to keep. The path that is
 likeliest under a trigram model of characters times the cost of its disguises
 is found by Viterbi search. All other text has one path only and stays as it is.
 """
@@ -25,7 +26,10 @@ LOOKS = {
 GAPS = " .-_"
 
 # Log-costs of a disguise.
-_READ, _KEEP, _JOIN, _GAP, _DOUBLE = -0.7, -6.0, -0.3, -1.0, -0.7
+_READ, _KEEP, _JOIN, _GAP, _DOUBLE, _ONCE, _MARK = -0.7, -6.0, -0.3, -1.0, -0.7, -4.0, -1.0
+
+_NUMBER = re.compile(r"(?<![^\W_])\d+(?![^\W_])", re.ASCII)
+_TAIL = re.compile(r"(?<=[^\s!*|(+$@])[!*|(+$@]+(?=[^\w\s]*(?:\s|$))")
 
 SYMBOLS = 28  # 0 no letter, 1-26 letters, 27 letters above ASCII
 
@@ -38,10 +42,8 @@ def _symbols() -> np.ndarray:
 
 
 SYMBOL_OF = _symbols()
-_LETTER = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
-_SIGN = np.isin(np.arange(256), [ord(c) for c in LOOKS])
-_LAST_SIGN = np.isin(np.arange(256), [ord(c) for c in "0123456789@$+"])
-_GAP_BYTE = np.isin(np.arange(256), [ord(c) for c in GAPS[1:]])
+_SIGNS = np.array([ord(c) for c in LOOKS])
+_GAPS = np.array([ord(c) for c in GAPS[1:]])
 
 # Decodings a worker remembers before it starts anew.
 CACHE = 200_000
@@ -66,15 +68,34 @@ def trigram_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3)
 
 
+def _keep_costs(text: str) -> dict[int, float]:
+    """What it costs to keep the signs at some places: one disguise for a number
+    apart from letters, little for marks that usually follow a word."""
+    out = {}
+    for number in _NUMBER.finditer(text):
+        runs = [m.start() for m in re.finditer(r"(.)\1*", number[0])]
+        out |= {number.start() + k: _KEEP / len(runs) for k in runs}
+    for tail in _TAIL.finditer(text):
+        for run in re.finditer(r"(.)\1*", tail[0]):
+            if run[1] in "!*|(+" or len(run[0]) >= 3:
+                out[tail.start() + run.start()] = _MARK
+    return out
+
+
 def _lattice(text: str) -> list[list[tuple[str, float]]]:
-    out = []
+    out, kept = [], _keep_costs(text)
     for run in re.finditer(r"(.)\1*", text, re.DOTALL):
         sign, n = run[1], len(run[0])
         if sign in GAPS or sign.isspace():
             out.append([("", _JOIN), (" ", _GAP)])
         elif sign in LOOKS:
-            once = [(c, _READ) for c in LOOKS[sign]] + [(sign * n, _KEEP)]
-            out.append(once if n == 1 else once + [(c * 2, _READ + _DOUBLE) for c in LOOKS[sign]])
+            keep, reads = (sign * n, kept.get(run.start(), _KEEP)), LOOKS[sign]
+            if n == 1:
+                out.append([(c, _READ) for c in reads] + [keep])
+            elif n == 2:  # two letters rather than one drawn out
+                out.append([(c + d, _READ + _DOUBLE) for c in reads for d in reads] + [(c, _READ + _ONCE) for c in reads] + [keep])
+            else:
+                out.append([(c, _READ) for c in reads] + [keep] + [(c * 2, _READ + _DOUBLE) for c in reads])
         elif n >= 3:
             out.append([(sign, 0.0), (sign * 2, _DOUBLE)])
         else:
@@ -141,34 +162,60 @@ class Restorer:
         return pa.array(texts, pa.string())
 
 
+def _folded(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each code point is a letter, and its lower case."""
+    kinds, place = np.unique(codes, return_inverse=True)
+    letter = np.array([chr(c).isalpha() for c in kinds.tolist()], bool)
+    lower = np.array([ord(chr(c).lower()[0]) for c in kinds.tolist()], np.int32)
+    return letter[place], lower[place]
+
+
+def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte of each code point, and the code points."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    return at, np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.int32)
+
+
 def stretches(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Byte spans that may be disguised, and the text each is in."""
+    """Byte spans that may be disguised, and the text each is in: words with
+    letters and signs, with a letter three times in a row or with two gaps in
+    them, and three or more single letters or signs in a row."""
     data, starts, ends = words.data, words.starts, words.ends
     if not len(starts):
         return starts, ends, starts
-    wide = np.concatenate([data, np.full(2, 0x20, np.uint8)])
-    letter, sign, gap = _LETTER[wide], _SIGN[wide], _GAP_BYTE[wide]
-    inner = np.ones(len(data) + 2, bool)  # the next byte is of the same text
-    inner[words.offsets[1:][words.offsets[1:] > 0] - 1] = False
-    folded = wide | np.uint8(0x20)
-    mark = np.zeros(len(data) + 1, bool)
-    mark[:-1] = sign[:-2] & letter[1:-1] & inner[:-2]
-    mark[1:-1] |= letter[:-3] & inner[:-3] & _LAST_SIGN[wide[1:-2]] & ((wide[2:-1] != wide[1:-2]) | ~inner[1:-2])
-    triple = (folded[:-2] == folded[1:-1]) & (folded[1:-1] == folded[2:]) & inner[:-2] & inner[1:-1]
-    mark[:-1] |= letter[:-2] & (wide[:-2] < 0x80) & triple
-    spread = np.zeros(len(data) + 1, bool)
-    spread[1:-1] = gap[1:-2] & letter[:-3] & letter[2:-1] & inner[:-3] & inner[1:-2]
-    total = np.concatenate([[0], np.cumsum(mark)])
-    flagged = total[ends] > total[starts]
-    total = np.concatenate([[0], np.cumsum(spread)])
-    flagged |= total[ends] - total[starts] >= 2
-    lone = (ends - starts == 1) & (letter | sign)[starts]
+    at, codes = _code_points(data)
+    first, after = np.searchsorted(at, starts), np.searchsorted(at, ends)
+    letter, folded = _folded(codes)
+    sign, gap = np.isin(codes, _SIGNS), np.isin(codes, _GAPS)
+    word = np.zeros(len(codes) + 1, np.int64)  # the word of each code point, or -1
+    word[first] += 1
+    total = np.cumsum(word)
+    inside = np.zeros(len(codes) + 1, np.int64)
+    np.add.at(inside, first, 1)
+    np.add.at(inside, after, -1)
+    word = np.where(np.cumsum(inside) > 0, total - 1, -1)[:-1]
+
+    def count(mark: np.ndarray) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(mark)])
+        return total[after] - total[first]
+
+    letters = count(letter)
+    flagged = (letters > 0) & (count(sign) > 0)
+    triple = np.flatnonzero((folded[:-2] == folded[1:-1]) & (folded[1:-1] == folded[2:]) & letter[:-2] & (word[:-2] == word[2:]))
+    flagged[word[triple]] = True
+    begins = np.flatnonzero(gap & ~np.concatenate([[False], gap[:-1]]))
+    closes = np.flatnonzero(gap & ~np.concatenate([gap[1:], [False]]))
+    whole = (begins > 0) & (closes < len(codes) - 1)
+    before, behind = begins[whole] - 1, closes[whole] + 1
+    drawn = (letter | sign)[before] & (letter | sign)[behind] & (word[before] == word[behind])
+    flagged |= (np.bincount(word[before[drawn]], minlength=len(starts)) >= 2) & (letters > 0)
+    lone = (after - first == 1) & (letter | sign)[first]
     row = words.text_of()
     joined = lone[1:] & lone[:-1] & (row[1:] == row[:-1])  # one run with the word before
     run = np.concatenate([[0], np.cumsum(~joined)])
-    first = np.flatnonzero(np.concatenate([[True], ~joined]))
-    last = np.append(first[1:], len(starts)) - 1
-    long = lone[first] & (last - first >= 2)
+    head = np.flatnonzero(np.concatenate([[True], ~joined]))
+    last = np.append(head[1:], len(starts)) - 1
+    long = lone[head] & (last - head >= 2)
     flagged |= long[run]
-    keep = flagged[first] | long
-    return starts[first[keep]], ends[last[keep]], row[first[keep]]
+    keep = flagged[head] | long
+    return starts[head[keep]], ends[last[keep]], row[head[keep]]
