@@ -1,22 +1,29 @@
-"""Licence statements in documents, paragraph by paragraph.
-
-Each line is a paragraph of words. A multinomial logistic regression on its
-word one- and two-grams, counted over the root of its length, tells licence
-families from each other and from ``unknown``. It is trained in numpy on
-variants of the family's template sentences (words dropped, other words around
-them) and, for ``unknown``, on a bounded sample of the corpus' own paragraphs
-and on template words out of order; a temperature fitted on variants that the
-training has not seen calibrates the probabilities. A prediction stands only if
-a template of its family confirms it: enough of the template's two-grams must
-be in the paragraph.
-
-N-grams that no template has weigh nothing but through the length, so scoring
-looks every word up in a table of a few hundred hashes. It is a narrow pass over
-whole texts, without a shuffle.
-
-Null and empty texts have no paragraph; paragraphs without words are unknown.
-A document may hold several families, or one several times; repeated rows give
-equal results. Other columns pass through; the result columns replace older ones.
+"""Licence statements in documents, wherever in a paragraph they stand.
+
+Lines up to one without words are a paragraph, so a statement may be wrapped. A
+multinomial logistic regression on word one- and two-grams, counted over the
+root of the length, tells licence families from each other and from
+``unknown``. It is trained in numpy on variants of the family's template
+sentences (words dropped, other words around them) and, for ``unknown``, on a
+bounded sample of the corpus' own lines and on template words out of order; a
+temperature fitted on variants that the training has not seen calibrates the
+probabilities.
+
+A statement is looked for where a template is: each two-gram of a template
+opens a window, which has the template's length or goes on to the last of its
+two-grams within twice that length. Where a window has enough of the
+template's two-grams, and the network gives it the template's family, the
+family is stated there. So neither a paragraph's length nor another statement
+in it counts. Of statements that overlap the likeliest stands.
+
+Words are looked up in a table of a few hundred hashes, and only windows are
+classified. It is a narrow pass over whole texts, without a shuffle.
+
+Places and ``n_paragraphs`` count lines: a statement is at the line in which it
+begins, and a line has a family once. Null and empty texts have none; lines
+without words state nothing. A document may hold several families; repeated
+rows give equal results. Other columns pass through; the result columns replace
+older ones.
 """
 
 from __future__ import annotations
@@ -40,6 +47,7 @@ VARIANTS = 25  # of each template
 CONFIRM = 0.6  # share of a template's two-grams
 BOUND = 0.5  # least calibrated probability
 STEPS = 200
+CELL = 64  # words; statements are looked up by it
 
 # Usual sentences by which a work is put under a licence.
 TEMPLATES = {
@@ -179,6 +187,98 @@ def confirmed(vocabulary: Vocabulary, text: str, families: Sequence[int]) -> boo
     )
 
 
+class Statement(NamedTuple):
+    low: int  # words
+    high: int
+    family: int
+    score: float
+    begin: int  # the first word of its two-grams
+
+
+class Search:
+    """Statements among words, found window by window."""
+
+    def __init__(self, vocabulary: Vocabulary, model: Model):
+        self.vocabulary, self.model = vocabulary, model
+        # every two-gram of every template: hash, template, place in it
+        rows = []
+        self.sizes, self.need = [], []
+        for k, (family, text) in enumerate(vocabulary.texts):
+            words = scan(pa.array([text]), ALNUM, lower=True)
+            pairs, _ = grams(words.hashes(), words.text_of())
+            rows += [(h, k, place) for place, h in enumerate(pairs[len(words.starts) :].tolist())]
+            self.sizes.append(len(words.starts))
+            self.need.append(int(np.ceil(CONFIRM * len(vocabulary.pairs[k][1]) - 1e-9)))
+        rows.sort()
+        self.pairs = np.array([r[0] for r in rows], np.uint64)
+        self.template, self.place = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+        self.known: dict[bytes, tuple[int, float]] = {}
+
+    def windows(self, two: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(template, its two-gram, first word, end) of windows with enough two-grams of the
+        template; ``two`` is the hash of each word and the next, 0 at an end."""
+        low = np.searchsorted(self.pairs, two)
+        count = np.searchsorted(self.pairs, two, side="right") - low
+        at = np.repeat(np.arange(len(two)), count)
+        entry = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        template, place, value = self.template[entry], self.place[entry], two[at]
+        for k, (size, need) in enumerate(zip(self.sizes, self.need, strict=True)):
+            mine = np.flatnonzero(template == k)
+            # a two-gram may stand at two places of its template
+            here, spot, gram = at[mine], place[mine], value[mine]
+            ends = np.searchsorted(here, here + 2 * size - 1)
+            for j in np.flatnonzero((need > 0) & (ends - np.arange(len(here)) >= need)).tolist():
+                found = here[j : ends[j]]
+                if len(np.unique(gram[j : ends[j]])) < need:
+                    continue
+                first = max(int(here[j] - spot[j]), 0)
+                yield k, int(found[0]), first, int(found[-1]) + 2
+                short = found < here[j] - spot[j] + size - 1
+                if len(np.unique(gram[j : ends[j]][short])) >= need:
+                    yield k, int(found[0]), first, int(here[j] - spot[j]) + size
+
+    def judged(self, hashes: np.ndarray) -> tuple[int, float]:
+        key = hashes.tobytes()
+        if key not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            found, _ = grams(hashes, np.zeros(len(hashes), np.int64))
+            at = np.minimum(np.searchsorted(self.vocabulary.hashes, found), len(self.vocabulary.hashes) - 1)
+            at = at[self.vocabulary.hashes[at] == found]
+            logits = self.model.weights[at].sum(axis=0) / np.sqrt(len(hashes)) + self.model.offset
+            p = _softmax((logits / self.model.temperature)[None])[0]
+            self.known[key] = int(p.argmax()), float(p.max())
+        return self.known[key]
+
+    def statements(self, hashes: np.ndarray, owner: np.ndarray) -> list[Statement]:
+        """Statements in the order of words; ``owner`` is each word's paragraph."""
+        if len(hashes) < 2:
+            return []
+        same = owner[1:] == owner[:-1]
+        two = np.where(same, mix(hashes[:-1] * np.uint64(3) + hashes[1:]), np.uint64(0))
+        found = set()
+        begin = np.searchsorted(owner, owner)
+        end = np.searchsorted(owner, owner, side="right")
+        for k, anchor, low, high in self.windows(two):
+            low, high = max(low, int(begin[anchor])), min(high, int(end[anchor]))
+            own = np.flatnonzero(np.isin(two[low : high - 1], self.vocabulary.pairs[k][1]))
+            if len(np.unique(two[low + own])) < self.need[k]:
+                continue
+            family, score = self.judged(hashes[low:high])
+            if family == self.vocabulary.texts[k][0] and family > 0 and score >= BOUND:
+                found.add(Statement(low, high, family, score, low + int(own[0])))
+        # the likeliest first; those that overlap one of another family go
+        kept: list[Statement] = []
+        taken: dict[int, list[Statement]] = {}
+        for s in sorted(found, key=lambda s: (-s.score, s.low, s.high, s.family)):
+            near = [t for cell in range(s.low // CELL, s.high // CELL + 1) for t in taken.get(cell, ())]
+            if not any(t.low < s.high and s.low < t.high for t in near):
+                kept.append(s)
+                for cell in range(s.low // CELL, s.high // CELL + 1):
+                    taken.setdefault(cell, []).append(s)
+        return sorted(kept)
+
+
 def sample_paragraphs(df: DataFrame, key: str, text: str = "text") -> list[str]:
     """One paragraph of at most SLOTS documents, at places given by hashes."""
     slot = F.pmod(F.xxhash64(key), F.lit(SLOTS))
@@ -186,9 +286,15 @@ def sample_paragraphs(df: DataFrame, key: str, text: str = "text") -> list[str]:
     chosen = rows.groupBy(slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(key).alias("h"), F.col(key).alias("id"))).alias("m"))
     chosen = chosen.select(F.col("m.id").alias("id"))  # one row a slot: small
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    line = F.get(lines, F.pmod(F.xxhash64(key, F.lit(9)), F.size(lines)).cast("int"))
-    taken = rows.select(F.col(key).alias("id"), F.substring(line, 1, SAMPLE_CHARS).alias("line")).join(F.broadcast(chosen), "id")
-    return sorted(r["line"] for r in taken.groupBy("id").agg(F.min("line").alias("line")).collect() if r["line"])
+    place = F.pmod(F.xxhash64(key, F.lit(9)), F.size(lines)).cast("int")
+    # the lines beside it tell whether it is part of a wrapped statement
+    around = F.slice(lines, F.greatest(place - 1, F.lit(1)), 5)
+    cut = [F.substring(x, 1, SAMPLE_CHARS).alias(n) for x, n in ((F.get(lines, place), "line"), (F.array_join(around, "\n"), "around"))]
+    taken = rows.select(F.col(key).alias("id"), *cut).join(F.broadcast(chosen), "id")
+    found = taken.groupBy("id").agg(F.min(F.struct("line", "around")).alias("m")).select("m.*").collect()
+    vocabulary = Vocabulary()
+    every = range(1, len(vocabulary.families))
+    return sorted(r["line"] for r in found if r["line"] and not confirmed(vocabulary, r["around"], every))
 
 
 def fit(df: DataFrame, key: str, text: str = "text") -> Model:
@@ -207,40 +313,30 @@ _ADDED = [("n_paragraphs", T.LongType()), ("licenses", T.ArrayType(_SPAN))]
 
 def _scanner(text: str, model, schema: pa.Schema):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = model.value
-        vocabulary = Vocabulary()
-        known: dict[tuple[int, bytes], bool] = {}
+        search = Search(Vocabulary(), model.value)
         for piece in chunks(batches, text):
             words = scan(piece.column(text), ALNUM, lower=True)
             data, offsets = words.data, words.offsets
-            # a paragraph ends with its line feed, or with the text
+            # a line ends with its line feed, or with the text
             begins = np.zeros(len(data) + 1, bool)
             begins[1:] = data == 0x0A
             begins[offsets[:-1]] = True
             begins[len(data)] = True
             starts = np.flatnonzero(begins)
             first = np.searchsorted(starts[:-1], offsets)
-            owner = np.searchsorted(starts, words.starts, side="right") - 1
-            n = len(starts) - 1
-            row, feature, size = vocabulary.counts(words, owner, n)
-            seen, place = np.unique(row, return_inverse=True)
-            logits = np.zeros((len(seen), len(vocabulary.families)))
-            np.add.at(logits, place, own.weights[feature])
-            logits = logits / np.sqrt(np.maximum(size[seen], 1))[:, None] + own.offset
-            p = _softmax(logits / own.temperature)
-            best = p.argmax(axis=1)
+            line = np.searchsorted(starts, words.starts, side="right") - 1
+            row = words.text_of()
+            # a paragraph begins after a line without words
+            apart = (line[1:] > line[:-1] + 1) | (row[1:] != row[:-1])
+            owner = np.concatenate([[0], np.cumsum(apart)])[: len(line)]
             lists: list[list] = [[] for _ in range(piece.num_rows)]
-            for k in np.flatnonzero((best > 0) & (p.max(axis=1) >= BOUND)):
-                line = data[starts[seen[k]] : starts[seen[k] + 1]].tobytes()
-                asked = (int(best[k]), line)
-                if asked not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[asked] = confirmed(vocabulary, line.decode(), [asked[0]])
-                if known[asked]:
-                    text_row = int(np.searchsorted(first, seen[k], side="right")) - 1
-                    found = {"paragraph": int(seen[k] - first[text_row]), "family": vocabulary.families[best[k]], "score": float(p[k].max())}
-                    lists[text_row].append(found)
+            best: dict[tuple[int, int], float] = {}
+            for s in search.statements(words.hashes(), owner):
+                at = int(line[s.begin]), s.family
+                best[at] = max(best.get(at, 0.0), s.score)
+            for (at, family), score in best.items():
+                text_row = int(np.searchsorted(first, at, side="right")) - 1
+                lists[text_row].append({"paragraph": at - int(first[text_row]), "family": search.vocabulary.families[family], "score": score})
             values = {"n_paragraphs": pa.array(np.diff(first), pa.int64()), "licenses": pa.array(lists, schema.field("licenses").type)}
             columns = [(values[f.name] if f.name in values else piece.column(f.name)).cast(f.type) for f in schema]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
