@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -162,15 +162,8 @@ def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 def _links(text: str, size: int, percent: int, schema: pa.Schema):
     def links(table: pa.Table) -> pa.Table:
-        sets, ids = [], []
-        wanted = iter(table.column("set_id").to_pylist())
-        for piece in chunks(table.to_batches(), text):
-            for shingles in shingle_sets(piece.column(text), size):
-                own = digest(shingles)
-                # a row whose id also stands at another text
-                if own == next(wanted):
-                    sets.append(shingles)
-                    ids.append(own)
+        ids = table.column("set_id").to_pylist()
+        sets = [s for piece in chunks(table.to_batches(), text) for s in shingle_sets(piece.column(text), size)]
         forest = linked(sets, percent) if len(sets) > 1 else []
         a, b = ([ids[e[side]] for e in forest] for side in (0, 1))
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
@@ -178,13 +171,20 @@ def _links(text: str, size: int, percent: int, schema: pa.Schema):
     return links
 
 
+def _text_hashes(text: Column) -> list[Column]:
+    """96 bits that stand for a text."""
+    return [F.xxhash64(text).alias("hash_a"), F.hash(text).alias("hash_b")]
+
+
 def near_duplicates(
     df: DataFrame, key: str, text: str = "text", size: int = 5, percent: int = 80, row: str | None = None
 ) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row of ``df``, and its
-    column ``row`` if one is named."""
-    docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    rows = docs if row is None else df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(row).alias("row"))
+    """(key, n_shingles, component_id, kept) for each row of ``df``; if a column
+    ``row`` is named, it and ``class_id``, the class whatever the ids of its
+    rows, which is null for texts without words."""
+    docs = df.select(F.col(text).alias("text"), *_text_hashes(F.col(text)))
+    named = [] if row is None else [F.col(row).alias("row")]
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *_text_hashes(F.col(text)), *named)
     added = [("n_shingles", T.LongType()), ("set_id", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))]
     own = [f for f in rows.schema.fields if f.name != "text"]
     schema = T.StructType([*own, *[T.StructField(n, t) for n, t in added]])
@@ -193,7 +193,13 @@ def near_duplicates(
     nodes = (
         marks.where("set_id is not null")
         .groupBy("set_id")
-        .agg(F.min("key").alias("key"), F.count("*").alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        .agg(
+            F.min("key").alias("key"),
+            F.count("*").alias("n"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("bands").alias("bands"),
+            F.min(F.struct("hash_a", "hash_b")).alias("one"),
+        )
         .withColumn("node", F.xxhash64("set_id"))
     )
     nodes = materialise(nodes, "nodes")
@@ -204,18 +210,19 @@ def near_duplicates(
     stars = members.join(heads, "band").select(F.col("head").alias("a"), F.col("node").alias("b"))
     candidates = components(stars).withColumnRenamed("component", "group")
 
-    grouped = nodes.join(candidates, "node").select("group", "set_id", "key", "n_shingles")
+    grouped = nodes.join(candidates, "node").select("group", "set_id", "one.*", "n_shingles")
     sizes = grouped.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     sizes = materialise(sizes, "sizes")
     own = F.pmod(F.hash("set_id"), F.col("blocks"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))
     )
-    dealt = grouped.join(sizes, "group").select("group", "set_id", "key", F.explode(pairs).alias("pair"))
-    # Each row is read once more for its text; an id that stands at several texts
-    # brings them all, and the task keeps the one meant.
-    texts = dealt.join(docs.withColumnRenamed("key", "of"), F.col("key").eqNullSafe(F.col("of")))
-    texts = texts.select("group", "pair.i", "pair.j", "set_id", "text")
+    dealt = grouped.join(sizes, "group").select("group", "set_id", "hash_a", "hash_b", F.explode(pairs).alias("pair"))
+    # Each text is read once more. One text stands for a set, and one row for a
+    # text: ids play no part, and tasks drop copies before the shuffle.
+    wanted = materialise(grouped.select("hash_a", "hash_b"), "wanted")
+    once = docs.dropDuplicates(["hash_a", "hash_b"]).join(wanted, ["hash_a", "hash_b"], "left_semi")
+    texts = dealt.join(once, ["hash_a", "hash_b"]).select("group", "pair.i", "pair.j", "set_id", "text")
     edge = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
     links = texts.groupBy("group", "i", "j").applyInArrow(_links("text", size, percent, to_arrow_schema(edge)), edge)
     classes = components(links)
@@ -225,9 +232,10 @@ def near_duplicates(
     named = materialise(named, "named")
     least = named.where("linked").groupBy("component").agg(F.min("key").alias("component_id"))
     shared = named.join(least, "component", "left").where("linked or n > 1")
-    shared = materialise(shared.select("set_id", F.coalesce("component_id", "key").alias("component_id")), "classes")
+    shared = shared.select("set_id", F.coalesce("component_id", "key").alias("component_id"), "component")
+    shared = materialise(shared, "classes")
     out = marks.drop("bands").join(shared, "set_id", "left")
     component = F.coalesce("component_id", "key")
     kept = F.col("key").eqNullSafe(component).alias("kept")
-    named = [] if row is None else [F.col("row").alias(row)]
+    named = [] if row is None else [F.col("row").alias(row), F.coalesce("component", "set_id").alias("class_id")]
     return out.select(F.col("key").alias(key), *named, "n_shingles", component.alias("component_id"), kept)

@@ -34,14 +34,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near duplicates. Rows
-    equal in id and text are one; of several that have no id, those whose class
-    has an id go. Documents without words are in no class and stay."""
+    """One document of each class of near duplicates: the one with the least id,
+    of several with that id or of a class without ids the one whose row has the
+    least digest. Documents without words are in no class and stay; of those
+    equal in id and text one does."""
     text = F.coalesce("text", F.lit(""))
     row = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text), 256)
     rows = docs.select(*COLUMNS).withColumn("__row", row)
     classes = near_duplicates(rows, "doc_id", size=SHINGLE, percent=SIMILAR, row="__row")
-    kept = rows.join(classes.where("kept").select("__row"), "__row", "left_semi")
+    # an order in which null ids come last
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))).alias("m")
+    one = classes.groupBy(F.coalesce("class_id", F.col("__row").cast("binary")).alias("class")).agg(least)
+    kept = rows.join(one.select("m.__row"), "__row", "left_semi")
     return kept.dropDuplicates(["__row"]).select(*COLUMNS)
 
 
