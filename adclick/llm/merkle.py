@@ -6,7 +6,7 @@ paragraph or one whose digest ends in three zero bits, so sections beside an
 edit stay as they are too. Every level hashes the digests of the one below;
 the root (128 bits) tests equality. The printed fingerprint is the root and the
 tree's leaves in short form: sections apart by ``|``, paragraphs by ``,``, and
-three characters for each leaf; differing branches are found by comparing it.
+twelve characters (72 bits) for each leaf; differing branches are found by comparing it.
 
 ``neighbours`` gives every row the one that follows it by descending id. Ids
 are cut into ranges at approximate quantiles; the first row of each range is
@@ -38,6 +38,8 @@ from pyspark.sql import types as T
 LEAF_WORDS = (2, 2, 4, 4, 4, 8, 8, 8, 8, 8, 16)
 # Ranges for each shuffle partition, to even out what hashing deals together.
 RANGES = 4
+# Characters of a printed leaf; four hold three bytes.
+WIDTH = 12
 
 
 def _bounds(words: int) -> list[int]:
@@ -60,9 +62,7 @@ def _paragraph(text: str) -> tuple[str, bytes]:
     words = text.split(" ")
     bounds = _BOUNDS[len(words)] if len(words) < len(_BOUNDS) else _bounds(len(words))
     leaves = [_digest(" ".join(words[a:b]).encode()) for a, b in zip(bounds, bounds[1:], strict=False)]
-    short = base64.b64encode(b"".join([x[:3] for x in leaves])).decode()
-    # four characters hold three bytes: the first three characters of each are kept
-    short = "".join([short[i : i + 3] for i in range(0, len(short), 4)])
+    short = base64.b64encode(b"".join([x[:9] for x in leaves])).decode()
     return short, _digest(b"p" + b"".join(leaves))
 
 
@@ -88,7 +88,7 @@ def fingerprint(text: str | None, seen: dict[str, tuple[str, bytes]] | None = No
 
 def leaves(printed: str) -> Counter:
     runs = printed.partition(":")[2].replace("|", ",").split(",")
-    return Counter([run[i : i + 3] for run in runs for i in range(0, len(run), 3)])
+    return Counter([run[i : i + WIDTH] for run in runs for i in range(0, len(run), WIDTH)])
 
 
 def likeness(a: str, b: str) -> float:
@@ -116,13 +116,13 @@ def differing(a: str, b: str) -> list[tuple[int, int, int]]:
         before = [p for s in old_sections for p in old[s].split(",")]
         places = [(s, k, p) for s in new_sections for k, p in enumerate(new[s].split(","))]
         for old_lines, new_lines in _changed(before, [p for _, _, p in places]):
-            known = Counter(before[k][i : i + 3] for k in old_lines for i in range(0, len(before[k]), 3))
+            known = Counter(before[k][i : i + WIDTH] for k in old_lines for i in range(0, len(before[k]), WIDTH))
             for section, k, line in (places[n] for n in new_lines):
-                for i in range(0, len(line), 3):
-                    if known[line[i : i + 3]] > 0:
-                        known[line[i : i + 3]] -= 1
+                for i in range(0, len(line), WIDTH):
+                    if known[line[i : i + WIDTH]] > 0:
+                        known[line[i : i + WIDTH]] -= 1
                     else:
-                        out.append((section, k, i // 3))
+                        out.append((section, k, i // WIDTH))
     return out
 
 
