@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adclick.llm import language_id, license_scan, quality, toxicity
 from adclick.llm.bpe import encode_and_decode
 from adclick.llm.decontaminate import find_benchmark
 from adclick.llm.folds import held_out
+from adclick.llm.line_dedup import drop_lines
 from adclick.llm.merkle import edit_report
 from adclick.llm.near_dedup import near_duplicates
 from adclick.llm.registry import QUERIES, SQL, query  # noqa: F401
+from adclick.llm.runs import find_runs
 from adclick.llm.substring_dedup import remove_repeated
 from adclick.llm.tables import table
 from adclick.llm.url_filter import Rule, judge
@@ -184,3 +186,61 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     network = language_id.fit(docs, "doc_id", ~apart)
     found = language_id.identify(docs.drop("lang"), network)
     return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
+def _made_periodic(key: str, text: str) -> Column:
+    """For ids whose checksum ends in 0, the text's words repeated from some
+    word on; the checksum gives that word and the period."""
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    h = F.crc32(F.col(key).cast("string"))
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    block = F.slice(words, a + 1, p)
+    times = F.floor((n - a) / p).cast("int")
+    periodic = F.concat(F.slice(words, F.lit(1), a), F.flatten(F.array_repeat(block, times)), F.slice(block, F.lit(1), (n - a) % p))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(periodic, " ")).otherwise(F.col(text))
+
+
+@query("op11_runs")
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of each document's words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _made_periodic("doc_id", "text").alias("text"))
+    found = find_runs(docs)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-best["start"]).alias("start"),
+        best["length"].alias("length"),
+        (-best["period"]).alias("period"),
+        F.floor(1000 * best["length"] / -best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+_OP12_SQL = """
+with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+lines as (select doc_id, unnest(parts) as line, unnest(range(len(parts))) as pos from split),
+keyed as (
+  select *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+  from lines),
+firsts as (select k, min(doc_id) as first_id from keyed where length(k) >= 10 group by k),
+marked as (
+  select doc_id, line, pos, coalesce(first_id <> doc_id, false) as gone
+  from keyed left join firsts using (k))
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
+@query("op12_line_dedup", _OP12_SQL)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the lines that an earlier one holds."""
+    kept = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
