@@ -10,6 +10,7 @@ from adclick.llm import language_id, license_scan, quality, toxicity
 from adclick.llm.bpe import encode_and_decode
 from adclick.llm.decontaminate import find_benchmark
 from adclick.llm.folds import held_out
+from adclick.llm.hard_negatives import mine_negatives
 from adclick.llm.line_dedup import drop_lines
 from adclick.llm.merkle import edit_report
 from adclick.llm.near_dedup import near_duplicates
@@ -244,3 +245,36 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document without the lines that an earlier one holds."""
     kept = drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_OP13_SQL = """
+with sound as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [floor(256 * cast(x as double)) for x in embedding] as q
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+anchors as (select * from sound where vec_id % 100 = 0),
+scored as (
+  select a.vec_id as anchor_id, r.vec_id as id, a.label = r.label as alike,
+    cast(list_inner_product(a.q, r.q) as bigint) as score
+  from anchors a join sound r on a.vec_id <> r.vec_id),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score from scored where alike
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+ranked as (
+  select p.anchor_id, p.positive_id, n.id as negative_id, p.positive_score, n.score as negative_score,
+    row_number() over (partition by p.anchor_id, p.positive_id order by n.score desc, n.id) as rank
+  from positives p join scored n on n.anchor_id = p.anchor_id and not n.alike
+    and 100 * n.score between 30 * p.positive_score and 90 * p.positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score
+from ranked where rank <= 10
+"""
+
+
+@query("op13_hard_negatives", _OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
