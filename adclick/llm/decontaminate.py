@@ -9,13 +9,16 @@ binary search. The run of training suffixes that share the suffix's window
 gives all places of it, and the longest match is extended from there.
 
 Documents never move: there is no shuffle. The benchmark is the stated query
-set; it goes to all tasks in blocks of at most ``BLOCK_BYTES`` of text, and the
-findings of several blocks are joined by a key of the row. A document longer
-than a shard is a shard of its own.
+set; its distinct rows go to all tasks in blocks of at most ``BLOCK_BYTES`` of
+text, one block after the other, a longer text being a block alone. The findings
+of several blocks are written down and joined by a digest of the text. A
+document longer than a shard is a shard of its own.
 
 Null and empty texts have no words; a benchmark text without words has no
 window, and equal benchmark texts are found each under its own id. Null item
-ids are found like others but not named. Repeated rows give equal results.
+ids are found like others but not named. Repeated rows give equal results. Of
+several texts or places of one item id the longest match is reported, then the
+first in the document, then the first in the item, in however many blocks.
 """
 
 from __future__ import annotations
@@ -25,16 +28,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from adclick.llm.tables import free_name
 from adclick.llm.words import ALNUM, chunks, scan
+from adclick.sources.scratch import materialise
 
 WINDOW = 10
 SHARD_BYTES = 2_000_000
 BLOCK_BYTES = 16_000_000
+# Parts by hash that blocks are put together from.
+FINE = 65_536
 
 _BITS = 21
 _LOW = np.uint64(2**_BITS - 1)
@@ -132,9 +140,11 @@ class Benchmark(NamedTuple):
         return put(block), put(mask)
 
 
-def matches(hashes: np.ndarray, ends: np.ndarray, bench: Benchmark, window: int) -> Iterator[tuple[int, int, int, int]]:
-    """(place, suffix start in the benchmark, window length, longest match) of
-    each window found in a shard's words; ``ends`` of the text of each word."""
+def found_windows(hashes: np.ndarray, ends: np.ndarray, bench: Benchmark, window: int) -> tuple[np.ndarray, ...]:
+    """Places, suffix starts in the benchmark, window lengths and longest matches
+    of the windows found in a shard's words; ``ends`` of the text of each word."""
+    if not len(bench.starts):
+        return (np.zeros(0, np.int64),) * 4
     codes = codes_of(hashes)
     # the end of a text comes between: words of two texts are never one window
     text_start = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]]) if len(ends) else np.zeros(0, np.int64)
@@ -147,14 +157,40 @@ def matches(hashes: np.ndarray, ends: np.ndarray, bench: Benchmark, window: int)
     back[place_of] = np.arange(len(hashes))
     array = SuffixArray(wide, window)
     low, high = array.search(*bench.queries(window))
-    for q in np.flatnonzero(high > low):
-        start, length = int(bench.starts[q]), int(bench.lengths[q])
-        for place in back[array.order[low[q] : high[q]]].tolist():
-            room = min(int(ends[place]) - place, int(bench.ends[start]) - start)
-            same = hashes[place : place + room] == bench.hashes[start : start + room]
-            longest = room if same.all() else int(same.argmin())
-            if longest >= length:
-                yield place, start, length, longest
+    found = [[np.zeros(0, np.int64)] * 4]
+    run = np.maximum(high - low, 0)
+    hit = np.flatnonzero(run)
+    # as many pairs at a time as there are words, so that arrays stay in bounds
+    share = np.cumsum(run[hit]) // max(len(hashes), 1 << 16)
+    for own in np.split(hit, np.flatnonzero(np.diff(share)) + 1):
+        count = run[own]
+        first = np.cumsum(count) - count
+        place = back[array.order[np.arange(count.sum()) - np.repeat(first - low[own], count)]]
+        start, length = np.repeat(bench.starts[own], count), np.repeat(bench.lengths[own], count)
+        longest = _agreement(hashes, place, ends[place], bench, start)
+        whole = longest >= length
+        found.append([x[whole] for x in (place, start, length, longest)])
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _agreement(hashes: np.ndarray, place: np.ndarray, ends: np.ndarray, bench: Benchmark, start: np.ndarray) -> np.ndarray:
+    """How many words agree from each place and each suffix start on."""
+    room = np.minimum(ends - place, bench.ends[start] - start)
+    longest = np.zeros(len(place), np.int64)
+    open_ = np.flatnonzero(room > 0)
+    step = 0
+    while len(open_):
+        same = hashes[place[open_] + step] == bench.hashes[start[open_] + step]
+        step += 1
+        open_ = open_[same]
+        longest[open_] = step
+        open_ = open_[room[open_] > step]
+    return longest
+
+
+def matches(hashes: np.ndarray, ends: np.ndarray, bench: Benchmark, window: int) -> Iterator[tuple[int, int, int, int]]:
+    """``found_windows`` one by one."""
+    yield from zip(*(x.tolist() for x in found_windows(hashes, ends, bench, window)), strict=True)
 
 
 _FOUND = T.ArrayType(
@@ -169,40 +205,42 @@ _FOUND = T.ArrayType(
 )
 
 
-def _finder(text: str, blocks: list, block: int, window: int, schema: pa.Schema):
+def _finder(text: str, block, window: int, schema: pa.Schema):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench = Benchmark.of(*blocks[block].value, window)
+        bench = Benchmark.of(*block.value, window)
+        # equal ids are neighbours, so they have one number
+        number = np.cumsum([0, *(a != b for a, b in zip(bench.ids, bench.ids[1:], strict=False))]) if bench.ids else np.zeros(0, np.int64)
+        item_first = np.searchsorted(bench.item, np.arange(len(bench.ids)))
         for piece in chunks(batches, text, SHARD_BYTES):
             words = scan(piece.column(text), ALNUM, lower=True)
             text_of = words.text_of()
             ends = words.first[1:][text_of]
             hit = np.zeros(len(text_of) + 1, np.int64)
-            found: dict[int, dict[str, tuple]] = {}
-            for place, start, length, longest in matches(words.hashes(), ends, bench, window):
-                hit[place] += 1
-                hit[place + length] -= 1
-                row, name = int(text_of[place]), bench.ids[bench.item[start]]
-                at = (place - int(words.first[row]), start - int(np.searchsorted(bench.item, bench.item[start])), longest)
-                best = found.setdefault(row, {}).get(name)
-                if best is None or longest > best[2]:
-                    found[row][name] = at
+            place, start, length, longest = found_windows(words.hashes(), ends, bench, window)
+            np.add.at(hit, place, 1)
+            np.subtract.at(hit, place + length, 1)
+            row, item = text_of[place], bench.item[start]
+            at, item_word = place - words.first[row], start - item_first[item]
+            order = np.lexsort((item_word, at, -longest, number[item], row))
+            row, item, at, item_word, longest = (x[order] for x in (row, item, at, item_word, longest))
+            best = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (number[item[1:]] != number[item[:-1]])]) if len(row) else row
+            found: dict[int, list[dict]] = {}
+            for k in best.tolist():
+                one = {"item_id": bench.ids[item[k]], "first_word": int(at[k]), "item_word": int(item_word[k]), "longest": int(longest[k])}
+                found.setdefault(int(row[k]), []).append(one)
             covered = np.cumsum(hit[:-1]) > 0
             total = np.concatenate([[0], np.cumsum(covered)])
             n_hit = total[words.first[1:]] - total[words.first[:-1]]
             spans = [None] * piece.num_rows
             lists = [None] * piece.num_rows
-            for row, items in found.items():
-                low, high = words.first[row], words.first[row + 1]
-                spans[row] = np.flatnonzero(covered[low:high]).tolist()
-                lists[row] = [
-                    {"item_id": n, "first_word": a, "item_word": b, "longest": c}
-                    for n, (a, b, c) in sorted(items.items(), key=lambda x: (x[0] is None, x[0] or ""))
-                ]
+            for k, items in found.items():
+                spans[k] = np.flatnonzero(covered[words.first[k] : words.first[k + 1]]).tolist()
+                lists[k] = items
             values = {
                 "n_words": pa.array(words.counts(), pa.int64()),
                 "n_hit": pa.array(n_hit, pa.int64()),
                 "hit_words": pa.array(spans, pa.list_(pa.int64())),
-                "matches": pa.array(lists, schema.field("matches").type),
+                "matches": pa.array(lists, to_arrow_schema(T.StructType([T.StructField("m", _FOUND)])).field("m").type),
             }
             columns = [values[f.name] if f.name in values else piece.column(f.name).cast(f.type) for f in schema]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -224,43 +262,65 @@ def find_benchmark(
     names.
     """
     df = df.drop(*[n for n, _ in _ADDED])
-    spark = df.sparkSession
     items = benchmark.select(F.col(item).cast("string").alias("id"), F.coalesce(item_text, F.lit("")).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-int(total) // block_bytes))
-    blocks = []
-    for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect() if n > 1 else items.collect()
-        rows = sorted(rows, key=lambda r: (r["id"] is None, r["id"] or "", r["text"]))
-        blocks.append(spark.sparkContext.broadcast(([r["id"] for r in rows], [r["text"] for r in rows])))
+    items = items.distinct()
+    fine = F.pmod(F.xxhash64("id", "text"), F.lit(FINE)).alias("part")
+    parts = items.groupBy(fine).agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).collect()
+    groups = _blocks(sorted((r["part"], r["bytes"]) for r in parts), block_bytes)
     result = T.StructType([*df.schema.fields, *[T.StructField(c, t) for c, t in _ADDED]])
-    arrow = to_arrow_schema(result)
-    found = df.mapInArrow(_finder(text, blocks, 0, window, arrow), result)
-    if n == 1:
-        return found
-    return _merged(df, text, blocks, window)
-
-
-def _merged(df: DataFrame, text: str, blocks: list, window: int) -> DataFrame:
-    """The findings of several blocks. Equal texts have equal findings, so they
-    are gathered by the text's digest, only for texts that are hit."""
-    names = [n for n, _ in _ADDED]
-    keyed = df.withColumn("__text", F.sha2(F.col(text), 256))
-    result = T.StructType([*keyed.schema.fields, *[T.StructField(c, t) for c, t in _ADDED]])
-    arrow = to_arrow_schema(result)
-    each = [keyed.mapInArrow(_finder(text, blocks, k, window, arrow), result) for k in range(len(blocks))]
-    base = each[0].drop("n_hit", "hit_words", "matches")
-    hits = each[0].select("__text", "hit_words", "matches")
-    for other in each[1:]:
-        hits = hits.unionAll(other.select("__text", "hit_words", "matches"))
-    # one row for each text and block, as copies have equal findings; at most
-    # as many lists as there are blocks come together
-    hits = hits.where("matches is not null").groupBy("__text", F.hash("matches").alias("h")).agg(
-        F.first("hit_words").alias("hit_words"), F.first("matches").alias("matches")
-    )
-    hits = hits.groupBy("__text").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-        F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"),
+    if len(groups) == 1:
+        return df.mapInArrow(_finder(text, _sent(items), window, to_arrow_schema(result)), result)
+    return _merged(df, text, [items.where(fine.between(*g)) for g in groups], window)
+
+
+def _blocks(parts: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """First and last parts of blocks that have at most ``most`` bytes or one part."""
+    blocks: list[list[int]] = []
+    for part, size in parts:
+        if blocks and blocks[-1][2] + size <= most:
+            blocks[-1][1:] = part, blocks[-1][2] + size
+        else:
+            blocks.append([part, part, size])
+    return [(a, b) for a, b, _ in blocks] or [(0, FINE)]
+
+
+def _sent(items: DataFrame) -> Broadcast:
+    """A block of items in order, for all tasks."""
+    rows = sorted(items.collect(), key=lambda r: (r["id"] is None, r["id"] or "", r["text"]))
+    return items.sparkSession.sparkContext.broadcast(([r["id"] for r in rows], [r["text"] for r in rows]))
+
+
+def _merged(df: DataFrame, text: str, blocks: list[DataFrame], window: int) -> DataFrame:
+    """The findings of several blocks, one after the other. Equal texts have
+    equal findings, so they are gathered by the text's digest, only for texts
+    that are hit."""
+    digest, hits = free_name(df, "__text"), None
+    texts = df.select(F.sha2(F.col(text), 256).alias("digest"), F.col(text).alias("text"))
+    result = T.StructType([*texts.schema.fields, *[T.StructField(c, t) for c, t in _ADDED]])
+    for block in blocks:
+        sent = _sent(block)
+        found = texts.mapInArrow(_finder("text", sent, window, to_arrow_schema(result)), result)
+        found = found.where("matches is not null").groupBy("digest").agg(
+            F.first("hit_words").alias("hit_words"), F.first("matches").alias("matches")
+        )
+        found = materialise(found, "hits")
+        sent.destroy()
+        hits = found if hits is None else hits.unionAll(found)
+    spans = hits.groupBy("digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"))
+    one = hits.select("digest", F.explode("matches").alias("m"))
+    best = one.groupBy("digest", F.col("m.item_id").alias("item_id")).agg(
+        F.min(F.struct((-F.col("m.longest")).alias("less"), F.col("m.first_word").alias("first_word"), F.col("m.item_word").alias("item_word"))).alias("b")
     )
-    out = base.join(hits, "__text", "left").withColumn("n_hit", F.coalesce(F.size("hit_words"), F.lit(0)).cast("long"))
-    return out.select(*[f for f in df.columns], *names)
+    match = F.struct("item_id", "b.first_word", "b.item_word", (-F.col("b.less")).alias("longest"))
+    # null ids come last, as in one block
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("item_id").isNull().alias("none"), match.alias("m"))))
+    lists = best.groupBy("digest").agg(F.transform(ordered, lambda x: x["m"]).alias("matches"))
+    hits = materialise(spans.join(lists, "digest"), "hits").withColumnRenamed("digest", digest)
+    none = _finder(text, df.sparkSession.sparkContext.broadcast(([], [])), window, to_arrow_schema(_counted(df)))
+    base = df.mapInArrow(none, _counted(df)).withColumn(digest, F.sha2(F.col(text), 256))
+    out = base.join(hits, digest, "left").withColumn("n_hit", F.coalesce(F.size("hit_words"), F.lit(0)).cast("long"))
+    return out.select(*df.columns, *[n for n, _ in _ADDED])
+
+
+def _counted(df: DataFrame) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType())])

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adclick.sources.scratch import materialise
+from adclick.sources.scratch import discard, materialise
 
 
 # Nodes that may be broadcast. A node counts as a hub if it has more edges than
@@ -53,7 +53,9 @@ def components(edges: DataFrame) -> DataFrame:
                 )
             ).alias("e")
         )
+        done = edges, large
         edges = materialise(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
+        discard(*done)
         before, state = state, _state(edges)
         if state == before:
             break

@@ -8,11 +8,14 @@ the root (128 bits) tests equality. The printed fingerprint is the root and the
 tree's leaves in short form: sections apart by ``|``, paragraphs by ``,``, and
 twelve characters (72 bits) for each leaf; differing branches are found by comparing it.
 
-``neighbours`` gives every row the one that follows it by descending id. Ids
-are cut into ranges at approximate quantiles; the first row of each range is
-also sent to the range before. So each range, a bounded part of the table,
+``neighbours`` gives every row the one that follows it by descending id, of
+equal ids by descending hash of the text. This order is cut into ranges at
+approximate quantiles: of the ids, of the hashes where an id (or null) fills
+several ranges, and of row numbers where a text does. The first row of each
+range is also sent to the range before. So each range, a bounded part of the table,
 knows all it needs, and the text is shuffled once. Only the range bounds and
-first ids, one for each range, reach the driver.
+first ids, one for each range, reach the driver. Row numbers are the same again
+if the input is read in a fixed order, as files and written tables are.
 
 Null text is the empty text, which has one empty leaf. Null ids come last.
 Rows with the same id go by a hash of their text; the order of equal rows does
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
@@ -148,14 +152,62 @@ def fingerprints(text: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in text], dtype=object)
 
 
-def _range_of(cuts: list[int]) -> Callable[[Column], Column]:
-    ascending = np.array(sorted(set(cuts)), np.int64)
+# A place in the order: an id, 52 bits of hash of the text, a hash of a row number.
+_Place = tuple[int, int, int]
+_LOWEST = -(2**63)
+
+
+def _cuts(values: list[int], prefix: tuple[int, ...]) -> list[tuple[tuple[int, ...], int]]:
+    """Distinct quantiles as bounds after ``prefix``, and how many ranges each fills."""
+    return [((*prefix, v), n) for v, n in sorted(Counter(values).items())]
+
+
+def _quantiles(column: str, parts: int) -> Column:
+    shares = [(i + 1) / parts for i in range(parts - 1)] or [1.0]
+    return F.percentile_approx(column, F.lit(shares), F.lit(10 * parts))
+
+
+def _bounds_of(docs: DataFrame, parts: int) -> tuple[list[_Place], list[_Place]]:
+    """Lower bounds of ranges among rows with an id and among those without.
+    An id that fills several ranges is cut by hash; a hash that does, evenly by
+    the hash of the row number."""
+    row = docs.agg(_quantiles("key", parts).alias("cuts"), F.count("*").alias("n"), F.count("key").alias("keyed")).first()
+    keys = _cuts(row["cuts"] or [], ())
+    hot = {k[0]: n + 1 for k, n in keys if n > 1}
+    nulls = -(-parts * (row["n"] - row["keyed"]) // max(row["n"], 1))
+    of = docs.where(F.col("key").isin(list(hot)) | F.col("key").isNull() & F.lit(nulls > 1))
+    within = {r["key"]: r["cuts"] for r in of.groupBy("key").agg(_quantiles("order", parts).alias("cuts")).collect()}
+
+    def inside(key: int | None, prefix: int, ranges: int) -> list[_Place]:
+        found: list[_Place] = []
+        # ``parts`` quantiles, of which the ranges of this id need a share
+        for (_, order), n in _cuts(within[key][:: max(1, parts // ranges)], (prefix,)):
+            found.append((prefix, order, _LOWEST))
+            found += [(prefix, order, _LOWEST + 2**64 * i // n) for i in range(1, n)]
+        return found
+
+    keyed = [(k[0], _LOWEST, _LOWEST) for k, _ in keys]
+    for key, ranges in hot.items():
+        keyed += inside(key, key, ranges)
+    return sorted(set(keyed)), sorted(set(inside(None, 0, nulls))) if nulls > 1 else []
+
+
+def _range_of(keyed: list[_Place], null: list[_Place]) -> Callable[..., Column]:
+    bounds = np.array([b[0] for b in keyed], np.int64)
 
     @F.pandas_udf(T.IntegerType())
-    def number(key: pd.Series) -> pd.Series:
-        """Ranges count from the largest ids down; null ids have the last."""
-        place = len(ascending) - np.searchsorted(ascending, key.fillna(0).to_numpy(np.int64))
-        return pd.Series(np.where(key.isna(), len(ascending) + 1, place)).astype("int32")
+    def number(key: pd.Series, order: pd.Series, tie: pd.Series) -> pd.Series:
+        """Ranges count from the end of the order down; null ids have the last."""
+        none = key.isna().to_numpy()
+        own = key.fillna(0).to_numpy(np.int64)
+        after = np.searchsorted(bounds, own, "right")
+        out = len(keyed) - after
+        several = after - np.searchsorted(bounds, own) > 1
+        for k in np.flatnonzero(several & ~none).tolist():
+            out[k] = len(keyed) - bisect_right(keyed, (int(own[k]), int(order[k]), int(tie[k])))
+        for k in np.flatnonzero(none).tolist():
+            out[k] = len(keyed) + 1 + len(null) - bisect_right(null, (0, int(order[k]), int(tie[k])))
+        return pd.Series(out).astype("int32")
 
     return number
 
@@ -164,19 +216,21 @@ def neighbours(df: DataFrame, key: str, text: str, work: Callable[[Iterator[tupl
     """Apply ``work`` to each range's (id, text, next text) in descending order."""
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("bigint").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    docs = docs.withColumn("order", F.xxhash64("text"))
+    # 52 bits, as quantiles are taken in floating point
+    docs = docs.withColumn("order", F.shiftright(F.xxhash64("text"), 12))
     parts = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = [(i + 1) / parts for i in range(parts - 1)]
-    cuts = docs.agg(F.percentile_approx("key", F.lit(shares), F.lit(10 * parts))).first()[0] or []
-    docs = docs.withColumn("range", _range_of(cuts)(F.col("key")))
+    range_of = _range_of(*_bounds_of(docs, parts))
+    docs = docs.withColumn("range", range_of("key", "order", F.xxhash64(F.monotonically_increasing_id())))
 
-    # one row for each range
+    # one row for each range; rows of one place in the order have one text
     firsts = docs.groupBy("range").agg(F.max(F.struct("key", "order")).alias("m")).select("range", "m.key", "m.order").collect()
     firsts.sort(key=lambda r: r["range"])
     peeks = [(firsts[i - 1]["range"], r["key"], r["order"]) for i, r in enumerate(firsts)]
     peeks = spark.createDataFrame(peeks, "range int, peek_key bigint, peek_order bigint")
     same = F.col("key").eqNullSafe(F.col("peek_key")) & (F.col("order") == F.col("peek_order"))
-    sent = docs.drop("range").join(F.broadcast(peeks), same).dropDuplicates(["range"])
+    places = peeks.select("peek_key", "peek_order").distinct()
+    sent = docs.drop("range").join(F.broadcast(places), same, "left_semi").dropDuplicates(["key", "order"])
+    sent = sent.join(F.broadcast(peeks), same)
     both = docs.withColumn("peek", F.lit(False)).unionByName(
         sent.select("key", "text", "order", "range", F.lit(True).alias("peek"))
     )

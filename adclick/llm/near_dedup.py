@@ -9,12 +9,17 @@ exact links.
 2. Equal sets are one node, so groups of copies weigh nothing from here on.
 3. Nodes that share a band meet in a bucket, which links each to its least
    node only: a bucket of n nodes gives n - 1 candidate edges.
-4. The components of the candidate edges are what has to be compared. A large
-   one is cut into blocks by its number of shingles, and each pair of blocks
-   goes to a task of its own, so no task grows with the component. Within a
-   task an inverted index gives the true intersections, and only links between
-   parts not yet joined are returned. No link between two sets of a candidate
-   component is lost, whichever of them was the star's centre.
+4. The components of the candidate edges are what has to be compared. A small
+   one is a group, so each of its texts moves once. In a large one, which chance
+   meetings may have chained together, only sets that share a bucket are
+   compared where that moves less: there every bucket is a group. A group that is too large for a task
+   is cut into blocks by its number of shingles, and each pair of blocks goes
+   to a task of its own. Within a task an inverted index gives the true
+   intersections, and only links between parts not yet joined are returned. No
+   link between two sets of a bucket is lost, whichever of them was the star's
+   centre.
+   The texts of candidates are read again: a Bloom filter of their hashes lets
+   through few others, and the join that follows is exact.
 5. The components of the true links are the classes.
 
 There are as many bands of ``ROWS`` rows as it takes that two sets just at the
@@ -39,9 +44,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from adclick.llm.bloom import may_hold
 from adclick.llm.graph import components
 from adclick.llm.words import NOT_SPACE, chunks, mix, scan, window_hashes
-from adclick.sources.scratch import materialise
+from adclick.sources.scratch import discard, materialise
 
 ROWS = 5
 MISS = 1e-6
@@ -210,30 +216,49 @@ def near_duplicates(
     stars = members.join(heads, "band").select(F.col("head").alias("a"), F.col("node").alias("b"))
     candidates = components(stars).withColumnRenamed("component", "group")
 
-    grouped = nodes.join(candidates, "node").select("group", "set_id", "one.*", "n_shingles")
-    sizes = grouped.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    in_parts = nodes.join(candidates, "node").select("group", "set_id", "one.*", "n_shingles", "bands")
+    in_parts = materialise(in_parts, "parts")
+    # what is sent, in shingles: of a part by its blocks, or by those of its buckets
+    n = F.sum("n_shingles").alias("n")
+    sent = F.col("n") * F.ceil(F.col("n") / BLOCK_SHINGLES)
+    large = in_parts.groupBy("group").agg(n).where(F.col("n") > BLOCK_SHINGLES)
+    large = materialise(large.select("group", sent.alias("by_part")), "large")
+    bands = in_parts.join(large, "group").withColumn("band", F.explode("bands")).join(heads.select("band"), "band")
+    by_band = bands.groupBy("group", "by_part", "band").agg(n).groupBy("group", "by_part").agg(F.sum(sent).alias("by_band"))
+    chained = materialise(by_band.where("by_band < by_part").select("group"), "chained")
+    columns = ["kind", "group", "set_id", "hash_a", "hash_b", "n_shingles"]
+    small_parts = in_parts.join(chained, "group", "left_anti").withColumn("kind", F.lit("part"))
+    bands = bands.join(chained, "group", "left_semi")
+    bands = bands.select(F.lit("band").alias("kind"), F.col("band").alias("group"), *columns[2:])
+    grouped = materialise(small_parts.select(*columns).unionByName(bands), "grouped")
+    sizes = grouped.groupBy("kind", "group").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     sizes = materialise(sizes, "sizes")
     own = F.pmod(F.hash("set_id"), F.col("blocks"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))
     )
-    dealt = grouped.join(sizes, "group").select("group", "set_id", "hash_a", "hash_b", F.explode(pairs).alias("pair"))
+    dealt = grouped.join(sizes, ["kind", "group"]).select("kind", "group", "set_id", "hash_a", "hash_b", F.explode(pairs).alias("pair"))
     # Each text is read once more. One text stands for a set, and one row for a
-    # text: ids play no part, and tasks drop copies before the shuffle.
-    wanted = materialise(grouped.select("hash_a", "hash_b"), "wanted")
-    once = docs.dropDuplicates(["hash_a", "hash_b"]).join(wanted, ["hash_a", "hash_b"], "left_semi")
-    texts = dealt.join(once, ["hash_a", "hash_b"]).select("group", "pair.i", "pair.j", "set_id", "text")
+    # text: ids play no part, and tasks drop copies before the shuffle. Texts
+    # that no group wants stay where they are, but for a few.
+    wanted = may_hold(in_parts.select("hash_a"))
+    once = docs.where(wanted(F.col("hash_a"))).dropDuplicates(["hash_a", "hash_b"])
+    texts = dealt.join(once.hint("merge"), ["hash_a", "hash_b"]).select("kind", "group", "pair.i", "pair.j", "set_id", "text")
     edge = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
-    links = texts.groupBy("group", "i", "j").applyInArrow(_links("text", size, percent, to_arrow_schema(edge)), edge)
+    links = texts.groupBy("kind", "group", "i", "j").applyInArrow(_links("text", size, percent, to_arrow_schema(edge)), edge)
+    links = materialise(links, "links")
+    discard(heads, in_parts, large, chained, grouped, sizes)
     classes = components(links)
 
     named = nodes.join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = named.select("set_id", "key", "n", "component", F.col("component").isNotNull().alias("linked"))
     named = materialise(named, "named")
+    discard(links, nodes)
     least = named.where("linked").groupBy("component").agg(F.min("key").alias("component_id"))
     shared = named.join(least, "component", "left").where("linked or n > 1")
     shared = shared.select("set_id", F.coalesce("component_id", "key").alias("component_id"), "component")
     shared = materialise(shared, "classes")
+    discard(named)
     out = marks.drop("bands").join(shared, "set_id", "left")
     component = F.coalesce("component_id", "key")
     kept = F.col("key").eqNullSafe(component).alias("kept")

@@ -1,7 +1,7 @@
 """Repeated word windows: a count-min prefilter, then exact counts of the rest.
 
-1. Documents are dealt into buckets by a hash. Every bucket makes a partial
-   count-min sketch of its windows (``DEPTH`` rows, split into shards by the
+1. Documents are dealt into buckets by their row numbers, so equal ones are
+   spread, too. Every bucket makes a partial count-min sketch of its windows (``DEPTH`` rows, split into shards by the
    window hash) and sends each shard its occupied cells only, packed.
 2. A shard merges the partial sketches of all buckets and answers each bucket
    with those of its cells that counted two or more. A sketch only
@@ -12,9 +12,12 @@
 
 A window that a third of all documents hold is sent once or twice by each
 bucket, so no shard gets more rows of it than there are buckets. A task holds
-one bucket's documents or one shard's cells; both shrink as ``shards`` grows,
-which follows ``spark.sql.shuffle.partitions``. The text is shuffled once, as
-the three uses share one exchange. Lost executors cost a rerun of tasks.
+one bucket's documents or one shard's cells. There are as many buckets as make
+``BUCKET_BYTES`` of text each, shards as make ``SHARD_BYTES``, and no fewer than
+follow from ``spark.sql.shuffle.partitions``. The text is shuffled once, as
+the three uses share one exchange. Lost executors cost a rerun of tasks; the
+row numbers are the same again if the input is read in a fixed order, as files
+and written tables are.
 
 Null and empty texts have no words. Repeated rows repeat each other's windows.
 A text shorter than the window has none. Other columns pass through, whatever
@@ -35,22 +38,32 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from adclick.llm.blobs import Pairs, at_most_twice, member, pack, twice, unpack
+from adclick.llm.tables import free_name
 from adclick.llm.words import NOT_SPACE, Words, chunks, scan, whole_windows, window_hashes
 
 WINDOW = 35
 DEPTH = 2  # rows of the sketch
 CELL_BITS = 26  # cells of one row of one shard, as a power of two
-BUCKETS = 2  # for each shard, so that a task holds half as many documents
+BUCKETS = 2  # for each shard at least, so that a task holds half as many documents
+BUCKET_BYTES = 64_000_000  # of text
+SHARD_BYTES = 512_000_000
 
-_BUCKET = "__bucket"
 _MESSAGE = "__to int, __from int, __row int, __blob binary"
 
 
-def bucket_of(text: str, key: str | None, buckets: int) -> Column:
-    parts = [F.col(text)] if key is None else [F.col(key), F.col(text)]
+def bucket_of(key: str | None, buckets: int) -> Column:
+    """A bucket by the number of a row; hashed, as numbers of a task follow each other."""
+    parts = [F.monotonically_increasing_id(), *([] if key is None else [F.col(key)])]
     return F.pmod(F.xxhash64(*parts), F.lit(buckets)).cast("int")
 
 
+def sizes(df: DataFrame, text: str, shards: int | None = None) -> tuple[int, int]:
+    """Shards and buckets for the bytes of all texts."""
+    total = df.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    shards = shards or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    return shards, max(BUCKETS * shards, -(-total // BUCKET_BYTES))
+
+
 def _pieces(table: pa.Table, text: str) -> Iterator[tuple[pa.RecordBatch, Words]]:
     for piece in chunks(table.to_batches(), text):
         yield piece, scan(piece.column(text), NOT_SPACE)
@@ -209,14 +222,13 @@ def remove_repeated(
     """``df`` with ``n_words``, ``n_removed`` and ``kept_text``: its words that
     no window of ``size`` words found elsewhere covers, joined by one space.
 
-    ``key`` helps to spread equal texts over the buckets.
+    ``key`` names a column that may take part in dealing rows into buckets.
     """
-    spark = df.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = BUCKETS * shards
     df = df.drop("n_words", "n_removed", "kept_text")
-    base = df.withColumn(_BUCKET, bucket_of(text, key, buckets))
-    by_bucket = base.groupBy(_BUCKET)
+    shards, buckets = sizes(df, text, shards)
+    bucket = free_name(df, "__bucket")
+    base = df.withColumn(bucket, bucket_of(key, buckets)).repartition(buckets, bucket)
+    by_bucket = base.groupBy(bucket)
     full = (
         by_bucket.applyInArrow(_sketch(text, size, shards), _MESSAGE)
         .groupBy("__to").applyInArrow(_merge, _MESSAGE)

@@ -1,4 +1,4 @@
-"""The driver's tables."""
+"""The driver's tables, and names that no table has."""
 
 from __future__ import annotations
 
@@ -7,3 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if a column has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
