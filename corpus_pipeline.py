@@ -1,91 +1,5 @@
-"""Documents to tokens: five stages, each over all that the one before kept.
+"""Documents to tokens: the stages that ``adclick.llm.pipeline`` holds."""
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
-each result to the shared scratch folder and reads it again. All but the last
-return the columns of documents.
-"""
+from adclick.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from adclick.llm import language_id
-from adclick.llm.bpe import encode_and_decode
-from adclick.llm.decontaminate import find_benchmark
-from adclick.llm.near_dedup import near_duplicates
-from adclick.llm.substring_dedup import remove_repeated
-from adclick.llm.tables import table
-from adclick.sources.scratch import materialise
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Words of a shingle and the least similarity, in percent, of near duplicates.
-SHINGLE, SIMILAR = 5, 80
-TOKENIZER = "byte_bpe_50k.json"
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows; those without a letter
-    go. The network learns from the documents that name their language."""
-    network = language_id.fit(docs, "doc_id", F.lit(True))
-    found = language_id.identify(docs.select(*COLUMNS), network)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the one with the least id,
-    of several with that id or of a class without ids the one whose row has the
-    least digest. Documents without words are in no class and stay; of those
-    equal in id and text one does."""
-    text = F.coalesce("text", F.lit(""))
-    row = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text), 256)
-    rows = docs.select(*COLUMNS).withColumn("__row", row)
-    classes = near_duplicates(rows, "doc_id", size=SHINGLE, percent=SIMILAR, row="__row")
-    # an order in which null ids come last
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("__row"))).alias("m")
-    one = classes.groupBy(F.coalesce("class_id", F.col("__row").cast("binary")).alias("class")).agg(least)
-    kept = rows.join(one.select("m.__row"), "__row", "left_semi")
-    return kept.dropDuplicates(["__row"]).select(*COLUMNS)
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of repeated passages; n_chars follows.
-    Documents in which nothing is repeated keep their text as it is."""
-    found = remove_repeated(docs.select(*COLUMNS), key="doc_id")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    found = found.withColumn("text", text)
-    return found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))).select(*COLUMNS)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of the benchmark."""
-    found = find_benchmark(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
-    return found.where(F.col("n_hit") == 0).select(*COLUMNS)
-
-
-def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document, and a digest of the text they decode to."""
-    coded = encode_and_decode(
-        docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER), outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256")
-    )
-    return coded.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
-
-
-STAGES = [
-    ("language", language),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("decontaminate", decontaminate),
-    ("tokens", tokens),
-]
-
-#: A trained network and subword tokens are beyond SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
