@@ -55,8 +55,11 @@ def _row_of(text: Column) -> Column:
 def line_table(df: DataFrame, key: str, text: str, least: int = LEAST) -> DataFrame:
     """(h1, h2, key, row, n, pos) of every line whose key is long enough."""
     parts = _parts(F.col(text))
-    lines = df.select(F.col(key).alias("key"), _row_of(F.col(text)).alias("row"), F.size(parts).alias("n"), F.posexplode(parts))
-    lines = lines.select("key", "row", "n", "pos", line_key(F.col("col")).alias("line")).where(F.length("line") >= least)
+    # keys are made before lines become rows: as columns of rows they would be
+    # made again wherever they are used
+    keys = F.posexplode(F.transform(parts, line_key)).alias("pos", "line")
+    lines = df.select(F.col(key).alias("key"), _row_of(F.col(text)).alias("row"), F.size(parts).alias("n"), keys)
+    lines = lines.where(F.length("line") >= least)
     return lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), "key", "row", "n", "pos")
 
 
