@@ -244,17 +244,38 @@ def a4_csv(spark, sf_dir):
 # --- interest tagging
 
 
+_DOCUMENT_FLAGS = f"""with {S.TERMS} select doc_id, {S.flag_columns()}
+  from documents left join terms on contains('[' || lower(text) || ']', term) group by doc_id"""
+
+
+@query("e1_interest_flags_term_table", f"with {S.BIDS}, {S.TERMS}, {S.FLAGS} select * from flags")
+def e1_term_table(spark, sf_dir):
+    """The terms as a table that meets the texts in a join."""
+    requests = bids(spark, sf_dir).select("impid", "interests")
+    return I.tag(requests, "interests", I.category_term_table(taxonomy(spark, sf_dir))).drop("interests")
+
+
+@query("e1_document_flags_term_table", _DOCUMENT_FLAGS)
+def e1_documents_term_table(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return I.tag(documents, "text", I.category_term_table(taxonomy(spark, sf_dir))).drop("text")
+
+
+@query("e1_document_flags_term_table_shuffled", _DOCUMENT_FLAGS)
+def e1_documents_shuffled(spark, sf_dir):
+    """The way taken for tables too large to broadcast."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    terms_ = I.category_term_table(taxonomy(spark, sf_dir))
+    return I.tag_by_table(documents, "text", terms_, broadcast_bytes=0).drop("text")
+
+
 @query("e1_interest_flags_substring", f"with {S.BIDS}, {S.TERMS}, {S.FLAGS} select * from flags")
 def e1(spark, sf_dir):
     requests = bids(spark, sf_dir).select("impid", "interests")
     return I.tag(requests, "interests", terms(spark, sf_dir)).drop("interests")
 
 
-@query(
-    "e1_document_flags",
-    f"""with {S.TERMS} select doc_id, {S.flag_columns()}
-      from documents left join terms on contains('[' || lower(text) || ']', term) group by doc_id""",
-)
+@query("e1_document_flags", _DOCUMENT_FLAGS)
 def e1_documents(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return I.tag(documents, "text", terms(spark, sf_dir)).drop("text")

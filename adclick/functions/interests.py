@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adclick.functions.constants import constant_array, sql_array
+from adclick.operators.lookup import BROADCAST_BYTES
+from adclick.operators.term_search import categories_of_terms
+from adclick.sources.scratch import materialise
 
 CATEGORIES = range(1, 27)
 
@@ -85,12 +88,26 @@ def category_terms(taxonomy: Iterable[tuple[str, str]]) -> dict[int, list[str]]:
     return {k: list(found) for k, found in terms.items()}
 
 
+def category_term_table(taxonomy: DataFrame) -> DataFrame:
+    """``category_terms`` as a table (category, term), for a taxonomy of any length."""
+    spark = taxonomy.sparkSession
+    code, name = (F.col(c) for c in taxonomy.columns[:2])
+    head = F.regexp_extract(code, r"^IAB([0-9]+)(?=-|\z)", 1).cast("int").alias("category")
+    rows = taxonomy.select(head, F.lower(name).alias("name")).where(F.col("category").between(CATEGORIES[0], CATEGORIES[-1]))
+    # fixed words, a handful
+    heads = spark.createDataFrame([(n, w) for n, words in HEAD_WORDS.items() for w in words], "name string, word string")
+    terms = rows.join(F.broadcast(heads), "name", "left").select("category", F.coalesce("word", "name").alias("term"))
+    codes = spark.createDataFrame([(k, f"iab{k}") for k in CATEGORIES], "category int, term string")
+    return terms.unionAll(codes).where("term is not null").distinct()
+
+
 def taxonomy_rows(taxonomy: DataFrame, limit: int = 50_000) -> list[tuple[str, str]]:
     """The taxonomy as configuration. It becomes part of the plan's text, so a
-    table larger than ``limit`` is refused rather than pulled to the driver."""
+    table larger than ``limit`` is refused rather than pulled to the driver;
+    ``category_term_table`` takes one of any length."""
     rows = taxonomy.limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"taxonomy exceeds {limit} rows; join it instead (interest_names)")
+        raise ValueError(f"taxonomy exceeds {limit} rows; search its category_term_table instead")
     return [(row[0], row[1]) for row in rows]
 
 
@@ -171,15 +188,35 @@ def has_code(part: Column) -> Column:
     return part.startswith("IAB")
 
 
+def tag_by_table(df: DataFrame, column: str, terms: DataFrame, prefix: str = "i", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``tag`` in substring mode with a table (category, term) of any length.
+
+    The rows are numbered and written down, as their own keys may be null or
+    repeated; what is found comes back by that number.
+    """
+    numbered = df.withColumn("__row", F.monotonically_increasing_id()).withColumn("__searched", interest_text(F.col(column)))
+    numbered = materialise(numbered, "numbered")
+    found = categories_of_terms(numbered, "__row", "__searched", terms, broadcast_bytes)
+    joined = numbered.join(found.select(F.col("row").alias("__row"), F.col("found").alias("__found")), "__row", "left")
+    held = F.coalesce(F.col("__found"), F.lit(0).cast("long"))
+    flags = [(held.bitwiseAND(F.lit(1 << k)) != 0).cast("double").alias(f"{prefix}{k}") for k in CATEGORIES]
+    return joined.select(*df.columns, *flags)
+
+
 def tag(
-    df: DataFrame, column: str, terms: Terms, mode: str = "substring", prefix: str = "i"
+    df: DataFrame, column: str, terms: Terms | DataFrame, mode: str = "substring", prefix: str = "i"
 ) -> DataFrame:
     """Append one 0/1 double per category.
 
     ``substring`` searches the whole text for the terms (``iab1`` is also found
     in ``IAB10``); ``token`` compares whole comma-separated tokens. The searched
-    form is computed once per row, in the projection below the flags.
+    form is computed once per row, in the projection below the flags. Terms
+    given as a table are searched by a join, in substring mode.
     """
+    if isinstance(terms, DataFrame):
+        if mode != "substring":
+            raise ValueError("a table of terms is searched in substring mode")
+        return tag_by_table(df, column, terms, prefix)
     if mode == "substring":
         held = categories_found(interest_text(F.col(column)), terms)
         test = lambda k: F.col("__searched").bitwiseAND(F.lit(1 << k)) != 0

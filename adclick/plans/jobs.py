@@ -37,10 +37,11 @@ CODED_WITH_IDENTIFIERS = (*CODED, "impid", "user")
 
 @dataclass(frozen=True)
 class FeatureModel:
-    """Everything the cleaning learned: dictionaries and category terms."""
+    """Everything the cleaning learned: dictionaries and category terms, these
+    as a mapping or, if they are very many, as a table (category, term)."""
 
     encoder: ValueEncoder
-    terms: Mapping[int, Sequence[str]]
+    terms: Mapping[int, Sequence[str]] | DataFrame
     mode: str = "substring"
     zone: str = "UTC"
 
@@ -48,7 +49,8 @@ class FeatureModel:
         """All columns as doubles, ``request_key`` being the raw identifier.
 
         ``carry`` keeps the raw request as the struct ``original``. One projection and one broadcast lookup per coded column: no shuffle,
-        unless an identifier column with a large dictionary is coded.
+        unless an identifier column with a large dictionary is coded or the terms
+        are a table.
         """
         coded = self.encoder.columns
         tagged = I.tag(requests, "interests", self.terms, self.mode)
@@ -61,7 +63,7 @@ class FeatureModel:
             "size": X.size_bucket(X.size_text(F.col("size"))),
             "timestamp": X.day_part(X.event_hour(F.col("timestamp"), self.zone)),
         }
-        flags = [f"i{k}" for k in sorted(self.terms)]
+        flags = [f"i{k}" for k in (I.CATEGORIES if isinstance(self.terms, DataFrame) else sorted(self.terms))]
         cleaned = tagged.select(
             F.col("impid").alias("request_key"),
             *[x.alias(name) for name, x in plain.items()],
@@ -76,13 +78,16 @@ class FeatureModel:
 
     def save(self, path: str) -> None:
         self.encoder.save(f"{path}/encoder")
-        setting = {"terms": dict(self.terms), "mode": self.mode, "zone": self.zone}
+        listed = None if isinstance(self.terms, DataFrame) else dict(self.terms)
+        if listed is None:
+            self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        setting = {"terms": listed, "mode": self.mode, "zone": self.zone}
         write_json(self.encoder.mapping.sparkSession, setting, f"{path}/setting")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FeatureModel:
         raw = read_json(spark, f"{path}/setting")
-        terms = {int(k): v for k, v in raw["terms"].items()}
+        terms = spark.read.parquet(f"{path}/terms") if raw["terms"] is None else {int(k): v for k, v in raw["terms"].items()}
         return cls(ValueEncoder.load(spark, f"{path}/encoder"), terms, raw["mode"], raw["zone"])
 
 
@@ -93,7 +98,7 @@ def _os_first(column: str):
 
 def fit_features(
     requests: DataFrame,
-    terms: Mapping[int, Sequence[str]],
+    terms: Mapping[int, Sequence[str]] | DataFrame,
     coded: Sequence[str] = CODED,
     mode: str = "substring",
     zone: str = "UTC",
