@@ -164,19 +164,38 @@ def j7(spark, sf_dir):
     return models.attach_predictions(scored, ["impid", "os", "user", "interests"])
 
 
-def _probabilities(kind):
+def _probabilities(kind, digits=None):
     def run(spark, sf_dir):
         features, spec, model, _ = trained(spark, sf_dir, kind, "auto")
         scored = models.score(model, features, spec)
-        return scored.select(
-            "request_key", "label", "prediction", vector_to_array("probability")[1].alias("p")
-        )
+        p = vector_to_array("probability")[1]
+        return scored.select("request_key", "label", "prediction", (F.round(p, digits) if digits else p).alias("p"))
+
+    return run
+
+
+# The usual forest and tree, whole: weights, draws and cuts follow from hashes.
+_FORESTS = {
+    "rf": f"with {S.forest(S.AUTO_FRACTION, 64, drawn=6)}",
+    "dt": f"with {S.forest(S.AUTO_FRACTION, 1)}",
+}
+for _name, _kind in (("j3_rf", "rf"), ("j4_dt", "dt")):
+    query(f"{_name}_scores", _FORESTS[_kind] + " select request_key, label, prediction, round(p, 9) as p from scored")(_probabilities(_kind, 9))
+
+
+def _nodes(kind):
+    def run(spark, sf_dir):
+        _, _, model, _ = trained(spark, sf_dir, kind, "auto")
+        counts = [F.col("counts")[k].alias(f"c{k}") for k in (0, 1)]
+        name = F.lower("feature").alias("feature")
+        return rounded(models.forest_nodes(model).select("tree", "node", name, "cut", "gain", *counts, "leaf"), "gain", digits=9)
 
     return run
 
 
-query("j3_rf_scores")(_probabilities("rf"))
-query("j4_dt_scores")(_probabilities("dt"))
+_NODES = " select tree, node, feature, cut, round(gain, 9) as gain, c0, c1, leaf from nodes"
+query("j3_rf_nodes", _FORESTS["rf"] + _NODES)(_nodes("rf"))
+query("j4_dt_nodes", _FORESTS["dt"] + _NODES)(_nodes("dt"))
 
 
 @query("j2_lr_coefficients")
@@ -308,7 +327,8 @@ def _train_evaluate(kind):
 
 
 query("l3_lr_train_evaluate")(_train_evaluate("lr"))
-query("l3_rf_train_evaluate")(_train_evaluate("rf"))
+query("l3_rf_train_evaluate", f"{_FORESTS['rf']}, {REPORT}")(lambda spark, sf_dir: rounded(_train_evaluate("rf")(spark, sf_dir), "value"))
+query("l3_dt_train_evaluate", f"{_FORESTS['dt']}, {REPORT}")(lambda spark, sf_dir: rounded(_train_evaluate("dt")(spark, sf_dir), "value"))
 
 
 def _small_report(kind, spec, settings):
@@ -347,4 +367,4 @@ query("l4_predictions", NB + _PREDICTED)(_predict("nb"))
 query("l4_predictions_lr_one_feature", _LOGIT_SQL + _PREDICTED)(_predict("lr", ONE_FEATURE, "auto", **EXACT))
 query("l4_predictions_rf_one_tree", _STUMP_SQL + _PREDICTED)(_predict("rf", None, "auto", **ONE_TREE))
 query("l4_predictions_lr")(_predict("lr"))
-query("l4_predictions_rf")(_predict("rf"))
+query("l4_predictions_rf", f"with {S.forest('0.03', 64, drawn=6)}" + _PREDICTED)(_predict("rf"))

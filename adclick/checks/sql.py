@@ -245,4 +245,87 @@ scored as (select request_key, any_value(train) as train, any_value(label) as la
   from joint group by request_key)"""
 
 
+# From these 16-bit numbers on a row is at least once, twice, …
+# in a bag, its times being Poisson(1).
+_BAG = (24110, 48219, 60274, 64292, 65297, 65497, 65531, 65536)
+
+
+def forest(fraction: str, trees: int, depth: int = 5, drawn: int | None = None, seed: int = 12345) -> str:
+    """Trees grown level by level on the features in order: ``drawn`` of them a
+    node (all if null) by least hash, rows weighed by their bags unless there is one
+    tree. Ends in ``nodes`` and ``scored``."""
+    u = f"cast('0x' || substr(md5('bag{seed}:' || (tree // 8) || ':' || request_key), tree % 8 * 4 + 1, 4) as int)"
+    weight = " + ".join(f"(({u}) >= {b})::int" for b in _BAG) if trees > 1 else "1"
+    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(MODEL_COLUMNS))
+    hashed = f"row_number() over (partition by tree, node order by md5('{seed}:' || tree || ':' || node || ':' || f))"
+    draw = f"qualify {hashed} <= {drawn}" if drawn else ""
+    square = lambda a, b, n: f"({a} * {a} + {b} * {b}) / {n}"
+    gain = f"round(({square('l0', 'l1', 'n')} + {square('(a0 - l0)', '(a1 - l1)', '(m - n)')} - {square('a0', 'a1', 'm')}) / m, 12)"
+    ctes = [
+        f"""{parts(fraction)},
+names as (select * from (values {names}) t(f, feature)),
+flat as materialized (select request_key, f, v from (select request_key, name as feature, v
+    from (select request_key, {_COLUMNS} from parts) unpivot (v for name in ({_COLUMNS}))) join names using (feature)),
+edges as (select f, v, (v + lead(v) over w) / 2 as cut, row_number() over w - 1 as bin
+  from (select distinct f, v from flat semi join balanced using (request_key)) window w as (partition by f order by v)),
+binned as materialized (select request_key, f, bin from flat semi join balanced using (request_key) join edges using (f, v)),
+bags as (select request_key, label, tree::int as tree, {weight} as w from balanced cross join (select range as tree from range({trees}))),
+state0 as materialized (select request_key, label, tree, w, 1 as node from bags where w > 0)"""
+    ]
+    for d in range(depth + 1):
+        ctes.append(
+            f"""level{d} as materialized (select tree, node, coalesce(sum(w) filter (label = 0), 0)::double as c0,
+    coalesce(sum(w) filter (label = 1), 0)::double as c1 from state{d} group by tree, node)"""
+        )
+        if d == depth:
+            break
+        ctes.append(
+            f"""drawn{d} as (select tree, node, f from level{d} cross join names {draw}),
+hist{d} as (select tree, node, f, bin, coalesce(sum(w) filter (label = 0), 0)::double as c0,
+    coalesce(sum(w) filter (label = 1), 0)::double as c1
+  from state{d} join drawn{d} using (tree, node) join binned using (request_key, f) group by tree, node, f, bin),
+sides{d} as (select tree, node, f, bin, sum(c0) over w as l0, sum(c1) over w as l1, sum(c0) over p as a0,
+    sum(c1) over p as a1, lead(bin) over w as after, l0 + l1 as n, a0 + a1 as m
+  from hist{d} window w as (partition by tree, node, f order by bin), p as (partition by tree, node, f)),
+best{d} as materialized (select tree, node, f, bin, {gain} as gain from sides{d} where after is not null and gain > 0
+  qualify row_number() over (partition by tree, node order by gain desc, f, bin) = 1),
+state{d + 1} as materialized (select state{d}.request_key, label, state{d}.tree, w,
+    2 * state{d}.node + (binned.bin > best{d}.bin)::int as node
+  from state{d} join best{d} using (tree, node) join binned on binned.request_key = state{d}.request_key and binned.f = best{d}.f)"""
+        )
+    ctes.append(f"ends{depth} as (select tree, node, c0, c1 from level{depth})")
+    for d in reversed(range(depth)):
+        ctes.append(
+            f"""given_up{d} as (select b.tree, b.node from best{d} b join ends{d + 1} e on e.tree = b.tree and e.node // 2 = b.node
+  group by all having count(*) = 2 and min((e.c1 > e.c0)::int) = max((e.c1 > e.c0)::int)),
+ends{d} as (select tree, node, c0, c1 from level{d} anti join (select tree, node from best{d} anti join given_up{d} using (tree, node)) s using (tree, node)),
+split{d} as materialized (select * from best{d} anti join given_up{d} using (tree, node))"""
+        )
+    # leaves below a node that was given up are no part of the tree
+    live, walks = ["select tree::int as tree, 1 as node from range(0, %d) t(tree)" % trees], []
+    ctes.append(f"live0 as ({live[0]})")
+    walks.append("walk0 as (select request_key, tree, 1 as node from parts cross join live0)")
+    for d in range(depth):
+        ctes.append(f"live{d + 1} as (select tree, unnest([2 * node, 2 * node + 1]) as node from live{d} semi join split{d} using (tree, node))")
+        walks.append(
+            f"""walk{d + 1} as materialized (select walk{d}.request_key, walk{d}.tree, 2 * walk{d}.node + (flat.v > edges.cut)::int as node
+  from walk{d} join split{d} using (tree, node) join edges on edges.f = split{d}.f and edges.bin = split{d}.bin
+    join flat on flat.request_key = walk{d}.request_key and flat.f = split{d}.f)"""
+        )
+    inner = [
+        f"""select tree, node, feature, cut, gain, c0, c1, false as leaf from live{d} join level{d} using (tree, node)
+    join split{d} using (tree, node) join edges using (f, bin) join names using (f)"""
+        for d in range(depth)
+    ]
+    leaves = [f"select tree, node, null, null, 0.0::double, c0, c1, true from live{d} join ends{d} using (tree, node)" for d in range(depth + 1)]
+    shares = " union all ".join(f"select request_key, c0 / (c0 + c1) as s0, c1 / (c0 + c1) as s1 from walk{d} join ends{d} using (tree, node)" for d in range(depth + 1))
+    ctes.append(f"nodes as ({' union all '.join([*inner, *leaves])})")
+    ctes += walks
+    ctes.append(
+        f"""votes as (select request_key, round(sum(s0) / {trees}, 12) as p0, round(sum(s1) / {trees}, 12) as p from ({shares}) group by request_key),
+scored as (select request_key, train, label, p, (p > p0)::int::double as prediction from parts join votes using (request_key))"""
+    )
+    return ",\n".join(ctes)
+
+
 AUTO_FRACTION = "least(1.0::double, count_if(label = 1)::double / count_if(label = 0))"
