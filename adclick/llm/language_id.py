@@ -6,11 +6,15 @@ one filled up with blanks; convolutions of several widths run over each window,
 their maxima go through a rectifier and a softmax over the languages. A text's
 prediction is the mean log-probability of its windows, weighted by their bytes.
 
-Training takes a bounded sample: at most ``SLOTS`` documents a language, of
-each ``WINDOWS`` windows at places given by a hash. It runs on the driver on
+Training takes a bounded sample: at most ``slots`` documents a language, of
+each ``windows`` windows at places given by a hash. It runs on the driver on
 these few megabytes. Applying is a narrow pass over whole texts, without a
 shuffle; responses come from tables over pairs and triples of byte classes.
 
+On request every fourth document of a language in the sample is kept out of the training and
+sets a bound: the least score that the network gives to one of them, less a
+margin. A text below it is less like any language than all that were labelled.
+
 A null text and one without a letter are ``und`` with score 0. Without any
 labelled row every text is ``und``. Ties go to the first language in order.
 Null labels and null ids are not learned from. Other columns pass through; the
@@ -29,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from adclick.llm.tables import free_name
 from adclick.llm.words import chunks, text_buffers
 
 LENGTH = 256
@@ -39,6 +44,8 @@ FILTERS = 16
 STEPS = 300
 BATCH = 64
 UNKNOWN = "und"
+# Share of the least held-out score that a text must reach.
+MARGIN = 0.75
 
 _CLASSES = 64
 _APPLY = 1024  # windows at a time
@@ -94,6 +101,7 @@ class Network(NamedTuple):
     bias: np.ndarray  # of all filters
     dense: np.ndarray
     offset: np.ndarray
+    bound: float = 0.0
 
     def log_probabilities(self, windows: np.ndarray, tables: list | None = None) -> np.ndarray:
         tables = tables or self.tables()
@@ -173,18 +181,21 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], steps:
     return Network(languages, values[: len(WIDTHS)], values[-3], values[-2], values[-1])
 
 
-def fit(df: DataFrame, key: str, learn: Column, text: str = "text", lang: str = "lang") -> Network | None:
+def fit(
+    df: DataFrame, key: str, learn: Column, text: str = "text", lang: str = "lang",
+    slots: int = SLOTS, windows: int = WINDOWS, bounded: bool = False,
+) -> Network | None:
     """Train on rows for which ``learn`` holds and the language is not null;
-    None if there is no such row."""
+    None if there is no such row. ``bounded`` sets the network's bound."""
     rows = df.where(learn & F.col(lang).isNotNull() & F.col(key).isNotNull())
     mixed = F.xxhash64(key)
-    slot = F.pmod(mixed, F.lit(SLOTS))
-    # at most SLOTS rows for each language: fit to be broadcast and collected
+    slot = F.pmod(mixed, F.lit(slots))
+    # at most ``slots`` rows for each language: fit to be broadcast and collected
     chosen = rows.groupBy(F.col(lang).alias("lang"), slot.alias("slot")).agg(F.min(F.struct(mixed.alias("h"), F.col(key).alias("id"))).alias("m"))
     chosen = chosen.select("lang", F.col("m.id").alias("id")).distinct()
     cuts = [
         F.substring(F.col(text), (F.pmod(F.xxhash64(F.col(key), F.lit(k)), F.greatest(F.lit(1), F.length(text) - LENGTH)) + 1).cast("int"), F.lit(LENGTH))
-        for k in range(WINDOWS)
+        for k in range(windows)
     ]
     taken = rows.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.array(*cuts).alias("cuts"))
     sample = taken.join(F.broadcast(chosen), ["id", "lang"]).groupBy("lang", "id").agg(F.min("cuts").alias("cuts")).collect()
@@ -192,12 +203,32 @@ def fit(df: DataFrame, key: str, learn: Column, text: str = "text", lang: str =
     languages = sorted({r[0] for r in sample if r[2]})
     if not languages:
         return None
-    windows, labels = [], []
+    taught, kept_out, labels = [], [], []
+    seen = dict.fromkeys(languages, 0)
     for name, _, texts in sample:
+        if not texts:
+            continue
+        seen[name] += 1
+        if bounded and seen[name] % 4 == 0:
+            kept_out.append(texts)
+            continue
         found, *_ = windows_of(*text_buffers(pa.array(texts, pa.string())))
-        windows.append(found)
+        taught.append(found)
         labels.extend([languages.index(name)] * len(found))
-    return train(np.concatenate(windows), np.array(labels), languages)
+    labels = np.array(labels)
+    present = np.unique(labels)
+    network = train(np.concatenate(taught), np.searchsorted(present, labels), [languages[k] for k in present])
+    scores = [float(mean_probabilities(network, pa.array(["".join(texts)], pa.string())).max()) for texts in kept_out]
+    return network._replace(bound=MARGIN * min(scores)) if scores else network
+
+
+def mean_probabilities(network: Network, texts: pa.Array, tables: list | None = None) -> np.ndarray:
+    """The probability of each language, by the mean over a text's windows."""
+    windows, first, used = windows_of(*text_buffers(texts))
+    logs = network.log_probabilities(windows, tables) * used[:, None]
+    mean = np.add.reduceat(logs, first[:-1]) / np.maximum(np.add.reduceat(used, first[:-1]), 1)[:, None]
+    p = np.exp(mean - mean.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
 
 
 def _scorer(text: str, network, schema: pa.Schema):
@@ -205,11 +236,7 @@ def _scorer(text: str, network, schema: pa.Schema):
         net = network.value
         tables = net.tables()
         for piece in chunks(batches, text):
-            windows, first, used = windows_of(*text_buffers(piece.column(text)))
-            logs = net.log_probabilities(windows, tables) * used[:, None]
-            mean = np.add.reduceat(logs, first[:-1]) / np.maximum(np.add.reduceat(used, first[:-1]), 1)[:, None]
-            p = np.exp(mean - mean.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
+            p = mean_probabilities(net, piece.column(text), tables)
             values = {
                 "lang_pred": pa.array([net.languages[k] for k in p.argmax(axis=1)], pa.string()),
                 "score": pa.array(p.max(axis=1)),
@@ -226,9 +253,10 @@ def identify(df: DataFrame, network: Network | None, text: str = "text") -> Data
     unknown = [F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")]
     if network is None:
         return df.select("*", *unknown)
-    letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    result = T.StructType([*df.schema.fields, T.StructField("__letter", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    letter = free_name(df, "__letter")
+    has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    result = T.StructType([*df.schema.fields, T.StructField(letter, T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     network = df.sparkSession.sparkContext.broadcast(network)
-    out = df.withColumn("__letter", letter).mapInArrow(_scorer(text, network, to_arrow_schema(result)), result)
-    chosen = [F.when(F.col("__letter"), F.col(c)).otherwise(u).alias(c) for c, u in zip(("lang_pred", "score"), unknown, strict=True)]
+    out = df.withColumn(letter, has_letter).mapInArrow(_scorer(text, network, to_arrow_schema(result)), result)
+    chosen = [F.when(F.col(letter), F.col(c)).otherwise(u).alias(c) for c, u in zip(("lang_pred", "score"), unknown, strict=True)]
     return out.select(*df.columns, *chosen)

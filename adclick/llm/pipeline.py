@@ -26,11 +26,13 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the network knows; those without a letter
-    go. The network learns from the documents that name their language."""
-    network = language_id.fit(docs, "doc_id", F.lit(True))
+    """Documents in a language that the network knows. It learns from documents
+    that name their language; those go that have no letter, or to which it gives a
+    lower score than to any labelled document kept out of its training."""
+    network = language_id.fit(docs, "doc_id", F.lit(True), bounded=True)
     found = language_id.identify(docs.select(*COLUMNS), network)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*COLUMNS)
+    known = F.col("lang_pred") != language_id.UNKNOWN
+    return found.where(known & (F.col("score") >= (network.bound if network else 0.0))).select(*COLUMNS)
 
 
 def _row_digest() -> Column:

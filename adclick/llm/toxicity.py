@@ -8,7 +8,7 @@
    its heaviest words, their number and their share, through logistic regression.
 
 Labels are learned from a bounded sample, ``SLOTS`` documents a class: a part
-of it weighs the words (at most ``FEATURES`` are kept), the rest fits the
+of it weighs the words, the rest fits the
 regression. Scoring is a narrow pass over whole texts.
 
 Null and empty texts have no words and get the score of such. Documents
@@ -36,7 +36,6 @@ from adclick.llm.words import Words, chunks, mix, scan, text_buffers
 from adclick.sources.scratch import materialise
 
 SLOTS = 3000
-FEATURES = 20_000
 BEGINNINGS = (4, 5, 6)  # bytes
 LEAST = 5  # texts of label 1 that a feature must be in
 STRONG = 2.0  # log-odds from which a word counts as heavy
@@ -153,7 +152,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str, learn: Column, text: str = "
     each = [F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]
     odds = F.log((F.col("n1") + 0.5) / (sizes[1] + 1)) - F.log((F.col("n0") + 0.5) / (sizes[0] + 1))
     found = found.groupBy("feature").agg(*each).where(F.col("n1") >= LEAST).withColumn("odds", odds).where("odds > 0")
-    rows = found.orderBy(F.desc("odds"), "feature").limit(FEATURES).select("feature", "odds").collect()
+    rows = found.select("feature", "odds").collect()  # no more than the sample's texts hold
     features = np.array([r[0] for r in rows], np.int64).view(np.uint64)
     weight = np.array([r[1] for r in rows])
     order = np.argsort(features)
@@ -174,7 +173,7 @@ def _odds(share: float) -> float:
     return float(np.log(max(share, 1e-3) / max(1 - share, 1e-3)))
 
 
-def _scorer(text: str, shared, schema: pa.Schema):
+def _scorer(text: str, shared, give: bool, schema: pa.Schema):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         restorer = Restorer(trigram_model(model.counts))
@@ -182,7 +181,7 @@ def _scorer(text: str, shared, schema: pa.Schema):
             restored = restorer.restore(piece.column(text))
             words = scan(restored, LETTERS, lower=True)
             logit = model.weights[0] + summaries(words, model.features, model.odds) @ model.weights[1:]
-            values = {"score": pa.array(1 / (1 + np.exp(-np.clip(logit, -40, 40)))), "restored": restored}
+            values = {"score": pa.array(1 / (1 + np.exp(-np.clip(logit, -40, 40))))} | ({"restored": restored} if give else {})
             columns = [(values[f.name] if f.name in values else piece.column(f.name)).cast(f.type) for f in schema]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
@@ -191,8 +190,8 @@ def _scorer(text: str, shared, schema: pa.Schema):
 
 def score(df: DataFrame, model: Model, text: str = "text", restored: bool = False) -> DataFrame:
     """``df`` with ``score``, and on request the ``restored`` texts."""
-    df = df.drop("score", "restored")
+    df = df.drop("score", *["restored"] * restored)
     added = [T.StructField("score", T.DoubleType())] + [T.StructField("restored", T.StringType())] * restored
     result = T.StructType([*df.schema.fields, *added])
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return df.mapInArrow(_scorer(text, shared, to_arrow_schema(result)), result)
+    return df.mapInArrow(_scorer(text, shared, restored, to_arrow_schema(result)), result)
