@@ -176,6 +176,16 @@ def d4_vector(spark, sf_dir):
     return vectors.select("impid", F.array_join(digits, "").alias("flags"))
 
 
+@query("d4_multi_hot_vector_joined", FLAG_TEXT)
+def d4_joined(spark, sf_dir):
+    """The way taken for a vocabulary too long to collect or broadcast."""
+    named = named_requests(spark, sf_dir)
+    vocabulary = multihot.fit_vocabulary(named, "names")
+    vectors = multihot.sparse_vectors(named, "names", vocabulary, "flags", (), 0, 0)
+    digits = F.transform(vector_to_array("flags"), lambda x: x.cast("int").cast("string"))
+    return vectors.select("impid", F.array_join(digits, "").alias("flags"))
+
+
 @query(
     "d5_vector_assembly",
     f"""with {S.FEATURES} select request_key, {', '.join(f'"{c}" as f{i}' for i, c in enumerate(S.MODEL_COLUMNS))} from features""",

@@ -74,13 +74,13 @@ def _multi_hot_sql(flag: str) -> str:
       select base.impid, {', '.join(picks)}, flags from base join hot on base.impid = hot.impid"""
 
 
-def multi_hot_table(spark, sf_dir, index_flags):
+def multi_hot_table(spark, sf_dir, index_flags, **more):
     """Unpacks the vector, so that the assembled order is checked as well."""
     requests = bids(spark, sf_dir)
-    model = jobs.fit_multi_hot(requests, taxonomy(spark, sf_dir), index_flags)
+    model = jobs.fit_multi_hot(requests, taxonomy(spark, sf_dir), index_flags, **more)
     indexed = [f"{c}Index" for c in jobs.MULTI_HOT_INDEXED if c != "label"]
     values = vector_to_array("features")
-    digits = F.transform(F.slice(values, len(indexed) + 1, len(model.names)), lambda x: x.cast("int").cast("string"))
+    digits = F.transform(F.slice(values, len(indexed) + 1, model.vocabulary.stats["names"].values), lambda x: x.cast("int").cast("string"))
     return model.transform(requests).select(
         "impid",
         F.col("labelIndex").alias("labelindex"),
@@ -105,6 +105,17 @@ def l2_indexed(spark, sf_dir):
     return multi_hot_table(spark, sf_dir, True)
 
 
+@query(
+    "l2_multi_hot_vector_joined",
+    _multi_hot_sql(
+        """case when (named.name is not null) = (2 * shares.n > (select count(*) from bids)) then '0' else '1' end"""
+    ),
+)
+def l2_joined(spark, sf_dir):
+    """The way taken for a vocabulary too long to collect."""
+    return multi_hot_table(spark, sf_dir, True, most_names=0)
+
+
 # --- models
 
 NB = f"with {S.naive_bayes()} "
@@ -209,6 +220,35 @@ def j6(spark, sf_dir):
     return _probabilities("lr")(spark, sf_dir)
 
 
+def _balanced(spark, sf_dir):
+    features = feature_table(spark, sf_dir)
+    spec = model_spec(features)
+    train_part, _ = sampling.hash_split(spec.select(features), spec.key)
+    return sampling.balance(train_part, spec.key, fraction="auto"), spec
+
+
+def _gradient(model, rows, spec):
+    """The gradient to three digits: nought, or the weights are no optimum."""
+    found = models.lr_gradient(model, rows, spec)
+    found = rounded(found, "moment", "variance", digits=9)
+    return found.select("class", F.lower("feature").alias("feature"), "moment", "variance", (F.round("gradient", 3) + 0.0).alias("gradient"))
+
+
+@query(
+    "j2_lr_gradient",
+    f"""with {S.parts(S.AUTO_FRACTION)}
+      select 1::double as class, lower(name) as feature, round(avg(label * v), 9) as moment, round(var_samp(v), 9) as variance, 0::double as gradient
+      from (select label, name, v from (select label, {', '.join(f'"{c}"' for c in S.MODEL_COLUMNS)} from balanced)
+        unpivot (v for name in ({', '.join(f'"{c}"' for c in S.MODEL_COLUMNS)}))) group by name
+      union all select 1, 'intercept', round(avg(label), 9), 0, 0 from balanced""",
+)
+def j2_gradient(spark, sf_dir):
+    """The usual regression is at the optimum of its penalised loss, which is
+    the only one."""
+    rows, spec = _balanced(spark, sf_dir)
+    return _gradient(models.fit_model(rows, spec, "lr"), rows, spec)
+
+
 # Small models that SQL can fit as well: one tree with one cut, without
 # bootstrap and on all features, and logistic regression on one feature.
 STUMP = {"maxDepth": 1}
@@ -252,20 +292,39 @@ def j2_small(spark, sf_dir):
     return rounded(models.lr_coefficients(model, spec), "weight", digits=3)
 
 
+def _embedding_parts(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    width = vectors.select(F.max(F.size("embedding"))).first()[0]
+    names = [f"e{i}" for i in range(width)]
+    wide = vectors.select(
+        F.col("vec_id").cast("string").alias("request_key"),
+        F.col("label").cast("double").alias("label"),
+        *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)],
+    )
+    spec = FeatureSpec(tuple(names))
+    return *sampling.hash_split(wide, spec.key), spec
+
+
+@query(
+    "j2_lr_gradient_ten_classes",
+    f"""with rows as (select label::double as label, unnest(embedding)::double as v, unnest(range(len(embedding))) as i
+        from embeddings where {S.unit('vec_id', 'split36')} < 0.8),
+      classes as (select distinct label as class from rows)
+      select class, 'e' || cast(i as varchar) as feature, round(avg(case when label = class then v else 0 end), 9) as moment,
+        round(var_samp(v), 9) as variance, 0::double as gradient from rows cross join classes group by class, i
+      union all select class, 'intercept', round(avg(case when label = class then 1 else 0 end), 9), 0, 0
+      from rows cross join classes where i = 0 group by class""",
+)
+def j2_gradient_ten_classes(spark, sf_dir):
+    rows, _, spec = _embedding_parts(spark, sf_dir)
+    return _gradient(models.fit_model(rows, spec, "lr"), rows, spec)
+
+
 def _embedding_report(kind):
     """Ten classes told apart by the components of their embeddings."""
 
     def run(spark, sf_dir):
-        vectors = table(spark, sf_dir, "embeddings")
-        width = vectors.select(F.max(F.size("embedding"))).first()[0]
-        names = [f"e{i}" for i in range(width)]
-        wide = vectors.select(
-            F.col("vec_id").cast("string").alias("request_key"),
-            F.col("label").cast("double").alias("label"),
-            *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)],
-        )
-        spec = FeatureSpec(tuple(names))
-        train_part, test_part = sampling.hash_split(wide, spec.key)
+        train_part, test_part, spec = _embedding_parts(spark, sf_dir)
         model = models.fit_model(train_part, spec, kind)
         return metrics.report(models.score(model, test_part, spec))
 

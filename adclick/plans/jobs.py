@@ -116,25 +116,34 @@ MULTI_HOT_INDEXED = (
 @dataclass(frozen=True)
 class MultiHotModel:
     """Fitted names, indices and taxonomy of the multi-hot cleaning. Flags in
-    ``flipped`` are given as 1 - flag."""
+    ``flipped`` are given as 1 - flag. ``names`` is empty where the vocabulary
+    is too long to be collected; it is joined then."""
 
     taxonomy: ElementMap
     media: ValueEncoder
     index: ValueEncoder
+    vocabulary: ValueEncoder
     names: Sequence[str]
     flipped: frozenset[str] = frozenset()
 
     def transform(self, requests: DataFrame, wide: bool = False) -> DataFrame:
         """(impid, labelIndex, <column>Index …, features), the interest flags
         being the sparse end of ``features``; ``wide`` also gives each a column,
-        which is meant for few names. Flipped flags are always wide."""
+        which is meant for few names. Flipped flags are wide if the names are few."""
         named = self.media.transform(_multi_hot_base(requests, self.taxonomy))
         indexed = self.index.transform(named, suffix="Index")
         inputs = [f"{c}Index" for c in MULTI_HOT_INDEXED if c != "label"]
-        if not wide and not self.flipped:
-            if self.names:
-                indexed = multihot.multi_hot_vector(indexed, "names", self.names, "__flags")
-            flags = ["__flags"] if self.names else []
+        n_names = self.vocabulary.stats["names"].values
+        if n_names and not self.names:
+            if wide:
+                raise ValueError(f"{n_names} names are too many for a column each")
+            codes = self.vocabulary.mapping_of("names").filter(F.col("value").isin(list(self.flipped)))
+            flipped = sorted(int(row["code"]) - 1 for row in codes.collect())
+            indexed = multihot.sparse_vectors(indexed, "names", self.vocabulary, "__flags", flipped)
+        elif n_names and not wide and not self.flipped:
+            indexed = multihot.multi_hot_vector(indexed, "names", self.names, "__flags")
+        if "__flags" in indexed.columns or not n_names:
+            flags = ["__flags"] if n_names else []
             assembler = VectorAssembler(inputCols=[*inputs, *flags], outputCol="features")
             return assembler.transform(indexed.select("impid", "labelIndex", *inputs, *flags)).drop("__flags")
         flags = [
@@ -204,18 +213,20 @@ def _multi_hot_base(requests: DataFrame, taxonomy: ElementMap) -> DataFrame:
 
 
 def fit_multi_hot(
-    requests: DataFrame, taxonomy: DataFrame, index_flags: bool = False
+    requests: DataFrame, taxonomy: DataFrame, index_flags: bool = False, most_names: int = multihot.NAMES
 ) -> MultiHotModel:
     """Fit the multi-hot cleaning in one scan: every vocabulary, dictionary and
     index follows from the counts of values.
 
     Flags pass through as 0/1. ``index_flags`` gives them frequency indices
-    like the other columns: 0 is then the commoner of the two values.
+    like the other columns: 0 is then the commoner of the two values. More than
+    ``most_names`` names stay a table.
     """
     codes = taxonomy_map(taxonomy)
     counts = value_counts(_multi_hot_base(requests, codes), MULTI_HOT_INDEXED, ["names"])
     fitted = dictionary_of(counts, ["media", "names"])
-    names = multihot.vocabulary_names(fitted, "names")
+    few = fitted.stats["names"].values <= most_names
+    names = multihot.vocabulary_names(fitted, "names", most_names) if few else []
     recoded = fitted.mapping.filter("feature = 'media'").select(
         "feature", F.col("code").cast("string").alias("value"), "n"
     )
@@ -225,9 +236,10 @@ def fit_multi_hot(
         common = fitted.mapping.filter(
             (F.col("feature") == "names") & (2 * F.col("n") > fitted.stats["media"].rows)
         )
+        # at most twice as many as a row has names on average
         flipped = frozenset(row["value"] for row in common.collect())
     return MultiHotModel(
-        codes, fitted.only("media"), frequency_index_of(counts, MULTI_HOT_INDEXED), names, flipped
+        codes, fitted.only("media"), frequency_index_of(counts, MULTI_HOT_INDEXED), fitted.only("names"), names, flipped
     )
 
 

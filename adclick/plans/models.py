@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -224,3 +224,37 @@ def lr_coefficients(model: PipelineModel, spec: FeatureSpec) -> DataFrame:
     return SparkSession.active().createDataFrame(
         rows, "class double, feature string, weight double"
     )
+
+
+def lr_gradient(model: PipelineModel, rows: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """(class, feature, moment, variance, gradient) of a logistic regression and
+    the rows it was fitted on: the mean of the feature among rows of the class
+    (times their share), the feature's variance, and the slope of the penalised loss,
+    per standard deviation of the feature. The loss is convex and its penalty
+    strictly so: if no slope is left, these are the weights.
+
+    One aggregation over (row, feature); intercepts are a feature that is 1 and
+    has no penalty. Rows with a null label or feature take no part."""
+    fitted = model.stages[-1]
+    if fitted.getElasticNetParam():
+        raise ValueError("the slope of an absolute penalty is not defined")
+    names = ["intercept", *spec.columns]
+    classes = [1] if fitted.numClasses == 2 else list(range(fitted.numClasses))
+    scored = model.transform(spec.select(rows).dropna(subset=[spec.label, *spec.columns]))
+    values = F.concat(F.array(F.lit(1.0)), vector_to_array("features"))
+    long = scored.select(F.col(spec.label).alias("y"), vector_to_array("probability").alias("p"), F.posexplode(values).alias("feature", "x"))
+    is_class = lambda c: (F.col("y") == c).cast("double")
+    sums = [
+        F.struct(
+            F.lit(float(c)).alias("class"), F.avg(is_class(c) * F.col("x")).alias("moment"),
+            F.avg((F.col("p")[c] - is_class(c)) * F.col("x")).alias("slope"),
+        )
+        for c in classes
+    ]
+    found = long.groupBy("feature").agg(F.var_samp("x").alias("variance"), F.array(*sums).alias("of"))
+    found = found.select("feature", F.coalesce("variance", F.lit(0.0)).alias("variance"), F.explode("of").alias("c"))
+    named = found.select(F.get(F.expr(f"array({', '.join(map(repr, names))})"), F.col("feature")).alias("feature"), "variance", "c.*")
+    both = named.join(F.broadcast(lr_coefficients(model, spec)), ["class", "feature"])
+    penalty = F.when(F.col("feature") == "intercept", 0.0).otherwise(fitted.getRegParam() * F.col("variance") * F.col("weight"))
+    scale = F.when(F.col("variance") > 0, F.sqrt("variance")).otherwise(1.0)
+    return both.select("class", "feature", "moment", "variance", ((F.col("slope") + penalty) / scale).alias("gradient"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -42,12 +43,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` once and return the written table."""
+def materialise(
+    df: DataFrame, name: str, partition_by: tuple[str, ...] = (), schema: StructType | None = None
+) -> DataFrame:
+    """Write ``df`` once and return the written table, read by its own schema or
+    by another one of the same stored types."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.partitionBy(*partition_by).parquet(path)
-    written = spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(schema or df.schema).parquet(path)
     written.scratch = path
     return written
 
