@@ -13,7 +13,9 @@ from adclick.checks.scalar import B, lower_names
 from adclick.functions import features as X
 from adclick.functions import interests as I
 from adclick.operators import multihot
+from adclick.operators.asof import asof_join
 from adclick.operators.encoders import fit_dictionary, fit_frequency_index
+from adclick.operators.intervals import interval_join
 from adclick.plans import jobs, models
 from adclick.sources import readers, sinks
 from adclick.sources.schema import FeatureSpec
@@ -388,3 +390,75 @@ def f4_shuffled(spark, sf_dir):
     answered from a bounded table, the rest joined by shuffle."""
     requests = bids(spark, sf_dir).select(F.col("impid").alias("request_key"), "type", "user")
     return fit_dictionary(requests, ["type", "user"]).transform(requests, broadcast_bytes=0)
+
+
+# --- joins by time
+
+
+@query(
+    "f5_last_earlier_event",
+    """select events.event_id, events.user_id, last.event_id as last_event_id, last.event_type as last_event_type, last.value as last_value
+      from events left join lateral (select event_id, event_type, value from events e
+        where e.user_id = events.user_id and e.ts < events.ts order by e.ts desc, e.event_id desc limit 1) last on true""",
+)
+def f5_asof(spark, sf_dir):
+    """Each event with the latest earlier one of its user."""
+    events = table(spark, sf_dir, "events")
+    return asof_join(
+        events.select("event_id", "user_id", "ts"), events, "user_id", "ts", "ts", ["event_id", "event_type", "value"],
+        ties=["event_id"], strict=True,
+    ).drop("ts")
+
+
+@query(
+    "f5_last_event_of_a_hot_key",
+    """with kinds as (select o_orderkey, o_orderdate + interval 10 year as moment, case when o_orderkey % 4 = 0 then 'click' else 'view' end as kind from orders),
+      timed as (select event_type, ts, event_id, lead(ts) over (partition by event_type order by ts, event_id) as until from events)
+      select o_orderkey, event_id as last_event_id from kinds left join timed
+        on event_type = kind and ts <= moment and (until is null or moment < until)""",
+)
+def f5_hot(spark, sf_dir):
+    """Two keys for all orders and events, which many ranges share."""
+    kind = F.when(F.col("o_orderkey") % 4 == 0, "click").otherwise("view")
+    at = F.col("o_orderdate") + F.expr("interval 10 years")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), at.alias("at"))
+    events = table(spark, sf_dir, "events")
+    joined = asof_join(orders, events.withColumnRenamed("event_type", "kind"), "kind", "at", "ts", ["event_id"], ties=["event_id"], range_rows=500)
+    return joined.select("o_orderkey", "last_event_id")
+
+
+_FLIGHTS = """flights as (select event_id as flight_id, user_id, ts as a,
+    ts + to_hours(cast(regexp_extract(props, '([0-9]+)', 1) as int) * case when event_id % 10 = 0 then 100 else 1 end) as b
+  from events where event_type = 'purchase')"""
+
+
+def _flights(events):
+    hours = F.regexp_extract("props", "([0-9]+)", 1).cast("int") * F.when(F.col("event_id") % 10 == 0, 100).otherwise(1)
+    end = F.timestamp_add("HOUR", hours, F.col("ts"))
+    bought = events.where("event_type = 'purchase'")
+    return bought.select(F.col("event_id").alias("flight_id"), "user_id", F.col("ts").alias("a"), end.alias("b"))
+
+
+@query(
+    "f6_events_in_flight",
+    f"""with {_FLIGHTS} select event_id, flight_id from events join flights
+      on events.user_id = flights.user_id and ts >= a and ts < b""",
+)
+def f6_intervals(spark, sf_dir):
+    """Events of a user within the windows that the user's purchases open."""
+    events = table(spark, sf_dir, "events")
+    met = interval_join(events.select("event_id", "user_id", "ts"), _flights(events), "ts", "a", "b", "user_id")
+    return met.select("event_id", F.col("interval_flight_id").alias("flight_id"))
+
+
+@query(
+    "f6_flights_by_day",
+    f"""with {_FLIGHTS}, days as (select distinct date_trunc('day', ts)::timestamp as day from events)
+      select strftime(day, '%Y-%m-%d') as day, count(*) as flights from days join flights on day >= a and day < b group by day""",
+)
+def f6_by_day(spark, sf_dir):
+    """Flights open at the beginning of each day, without a key."""
+    events = table(spark, sf_dir, "events")
+    days = events.select(F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("day")).distinct()
+    met = interval_join(days, _flights(events), "day", "a", "b")
+    return met.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("flights"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adclick.functions.constants import constant_array
+from adclick.operators.heavy import heavy_hitters
 from adclick.sources.scratch import materialise
 
 # A dimension is broadcast up to this measured size.
@@ -48,10 +49,10 @@ def lookup(
     ``mapping`` has one row per (value, code, n), ``n`` being the rows that held
     the value when it was built, ``total_rows`` of them in all, ``size_bytes``
     its measured size. Null is a value like any other; values not in the mapping
-    get ``default``. A mapping too large to broadcast is joined by shuffle, its
-    hot values looked up beforehand in a broadcast of at most 1/HOT_SHARE rows,
-    and the rows so answered spread by a hash of the row. Values that are hot only in
-    ``df`` are split by adaptive skew-join handling.
+    get ``default``. A mapping too large to broadcast is joined by shuffle. The
+    values hot in the mapping, those that a sketch finds hot in ``df``, seen before
+    or not, and null are looked up beforehand in a broadcast of a few times
+    1/HOT_SHARE rows, and the rows so answered are spread by a hash of the row.
     """
     out = out or column
     value = F.col(column).cast("string")
@@ -60,21 +61,27 @@ def lookup(
         joined = df.join(small, value.eqNullSafe(F.col("__v")), "left")
         return joined.withColumn(out, F.coalesce("__c", default)).drop("__v", "__c")
 
-    is_hot = F.col("n") >= F.lit(max(2.0, HOT_SHARE * total_rows))
-    hot = mapping.filter(is_hot).select(F.col("value").alias("__h"), F.col("code").alias("__hot"))
-    cold = mapping.filter(~is_hot).select(
+    found = heavy_hitters(df, value, HOT_SHARE)
+    is_hot = (F.col("n") >= F.lit(max(2.0, HOT_SHARE * total_rows))) | F.col("value").isNull() | F.col("value").isin(found)
+    # values that the mapping does not know are answered as well, by nothing
+    named = df.sparkSession.createDataFrame([(v,) for v in (None, *found)], "__h string")
+    known = mapping.filter(is_hot).select(F.col("value").alias("__v"), F.col("code").alias("__hot"))
+    hot = named.join(known, F.col("__h").eqNullSafe(F.col("__v")), "full")
+    hot = hot.select(F.coalesce("__h", "__v").alias("__h"), "__hot", F.lit(True).alias("__answered"))
+    cold = mapping.filter(~F.coalesce(is_hot, F.lit(False))).select(
         F.col("value").alias("__v"), F.col("code").alias("__cold"), F.xxhash64("value").alias("__of")
     )
     answered = df.join(F.broadcast(hot), value.eqNullSafe(F.col("__h")), "left")
     # The second join key: of the value, but of the whole row where the value
-    # is answered. A constant in its place would be folded out of the keys.
-    spread = F.when(F.col("__hot").isNotNull(), F.xxhash64(*df.columns)).otherwise(F.xxhash64(value))
+    # is answered. A constant in its place would be folded out of the keys, and
+    # a row number would not be the same again after a lost executor.
+    spread = F.when(F.col("__answered"), F.xxhash64(*df.columns)).otherwise(F.xxhash64(value))
     keyed = answered.withColumn("__key", spread)
     joined = keyed.join(
         cold, value.eqNullSafe(F.col("__v")) & (F.col("__key") == F.col("__of")), "left"
     )
     coded = joined.withColumn(out, F.coalesce("__hot", "__cold", default))
-    return coded.drop("__h", "__hot", "__key", "__v", "__cold", "__of")
+    return coded.drop("__h", "__hot", "__answered", "__key", "__v", "__cold", "__of")
 
 
 @dataclass(frozen=True)
