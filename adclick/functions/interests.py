@@ -11,7 +11,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adclick.functions.constants import constant_array, sql_array
+from adclick.functions.constants import constant_lookup, sql_array
 from adclick.operators.lookup import BROADCAST_BYTES
 from adclick.operators.term_search import categories_of_terms
 from adclick.sources.scratch import materialise
@@ -155,8 +155,7 @@ def categories_found(text: Column, terms: Terms) -> Column:
         for end in range(1, len(term) + 1):
             within[term] |= masks.get(term[:end], 0)
     hits = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_prefix_tree(masks)}))"), F.lit(1)))
-    known, bits = constant_array(within), constant_array(within.values())
-    each = F.transform(hits, lambda hit: F.get(bits, F.array_position(known, hit).cast("int") - 1))
+    each = F.transform(hits, constant_lookup(list(within), list(within.values())))
     found = F.aggregate(each, F.lit(always).cast("bigint"), lambda held, bit: held.bitwiseOR(bit))
     return F.coalesce(found, F.lit(0).cast("bigint"))
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adclick.functions.constants import constant_array
+from adclick.functions.constants import constant_array, constant_lookup
 from adclick.operators.heavy import heavy_hitters
 from adclick.sources.scratch import materialise
 
@@ -114,8 +114,10 @@ class ElementMap:
         kind = self.table.schema["code"].dataType
         if not self.rows:
             return F.lit(None).cast(kind)
-        values, codes = (constant_array(side) for side in zip(*self.rows, strict=True))
-        return F.get(codes, F.array_position(values, element).cast("int") - 1)
+        known = [row for row in self.rows if None not in row]
+        if not known:
+            return F.lit(None).cast(kind)
+        return constant_lookup(*zip(*known, strict=True))(element).cast(kind)
 
 
 def lookup_elements(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from adclick.functions.features import ratio
 from adclick.operators.ordering import ROWS_PER_TASK, running_totals
-from adclick.sources.scratch import materialise
+from adclick.sources.scratch import discard, materialise
 
 
 def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -119,11 +119,10 @@ def auc_score(
         scores, "all", [F.col("score")], {"below": F.col("neg")}, scores.count(), rows_per_task
     )
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    return summed.agg(
-        ratio(
-            F.sum(pos * (F.col("below") - neg / 2.0)), F.sum(pos) * F.sum(neg)
-        ).alias("auc")
-    )
+    area = ratio(F.sum(pos * (F.col("below") - neg / 2.0)), F.sum(pos) * F.sum(neg))
+    found = materialise(summed.agg(area.alias("auc")), "auc")
+    discard(scores, summed)
+    return found
 
 
 def report(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

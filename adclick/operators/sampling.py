@@ -27,8 +27,8 @@ def hash_split(
     df: DataFrame, key: str, weights: Sequence[float] = (0.8, 0.2), seed: int = 36
 ) -> list[DataFrame]:
     """Disjoint, complete parts in the proportion of ``weights``. Rows with the
-    same key stay together; rows with a null key go to the first part."""
-    unit = F.coalesce(unit_hash(F.col(key), f"split{seed}"), F.lit(0.0))
+    same key stay together; rows with a null key are dealt by the whole row."""
+    unit = _row_unit(df, key, f"split{seed}")
     total, parts, low = float(sum(weights)), [], 0.0
     for i, weight in enumerate(weights):
         high = low + weight / total

@@ -223,14 +223,14 @@ def fit_multi_hot(
     ``most_names`` names stay a table.
     """
     codes = taxonomy_map(taxonomy)
-    counts = value_counts(_multi_hot_base(requests, codes), MULTI_HOT_INDEXED, ["names"])
-    fitted = dictionary_of(counts, ["media", "names"])
+    counted = value_counts(_multi_hot_base(requests, codes), MULTI_HOT_INDEXED, ["names"])
+    fitted = dictionary_of(counted, ["media", "names"])
     few = fitted.stats["names"].values <= most_names
     names = multihot.vocabulary_names(fitted, "names", most_names) if few else []
     recoded = fitted.mapping.filter("feature = 'media'").select(
         "feature", F.col("code").cast("string").alias("value"), "n"
     )
-    counts = counts.filter("feature not in ('media', 'names')").unionByName(recoded)
+    counts = counted.filter("feature not in ('media', 'names')").unionByName(recoded)
     flipped = frozenset()
     if index_flags:
         common = fitted.mapping.filter(
@@ -238,9 +238,9 @@ def fit_multi_hot(
         )
         # at most twice as many as a row has names on average
         flipped = frozenset(row["value"] for row in common.collect())
-    return MultiHotModel(
-        codes, fitted.only("media"), frequency_index_of(counts, MULTI_HOT_INDEXED), fitted.only("names"), names, flipped
-    )
+    index = frequency_index_of(counts, MULTI_HOT_INDEXED)
+    discard(counted)
+    return MultiHotModel(codes, fitted.only("media"), index, fitted.only("names"), names, flipped)
 
 
 def train(
