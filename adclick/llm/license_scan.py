@@ -28,6 +28,7 @@ older ones.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
@@ -45,42 +46,100 @@ SLOTS = 1500  # documents whose paragraphs are sampled, one each
 SAMPLE_CHARS = 2000
 VARIANTS = 25  # of each template
 CONFIRM = 0.6  # share of a template's two-grams
+WHOLE = 3  # so many two-grams, or fewer, are needed all
 BOUND = 0.5  # least calibrated probability
 STEPS = 200
 CELL = 64  # words; statements are looked up by it
 
-# Usual sentences by which a work is put under a licence.
+# Usual sentences, short forms and identifiers by which a work is
+# put under a licence.
 TEMPLATES = {
-    "agpl": ["Licensed under the GNU Affero General Public License, version 3."],
+    "agpl": [
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "GNU AGPL v3",
+        "SPDX-License-Identifier: AGPL-3.0",
+    ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+        "Apache License",
+        "SPDX-License-Identifier: Apache-2.0",
     ],
     "bsd": [
         "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "BSD 3-Clause License",
+        "BSD 2-Clause License",
+        "SPDX-License-Identifier: BSD-3-Clause",
+    ],
+    "cc-by": [
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ],
-    "cc-by": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
     "cc-by-sa": [
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+    ],
+    "cc0": ["Released under CC0 1.0 Universal.", "This work is dedicated to the public domain.", "SPDX-License-Identifier: CC0-1.0"],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
+        "Eclipse Public License",
+        "SPDX-License-Identifier: EPL-2.0",
     ],
-    "cc0": ["Released under CC0 1.0 Universal.", "This work is dedicated to the public domain."],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and modify it under the terms of the GNU General Public License.",
+        "GNU General Public License",
+        "GNU GPL v3",
+        "GNU GPL v2",
+        "licensed under the GPL",
+        "SPDX-License-Identifier: GPL-3.0",
+        "SPDX-License-Identifier: GPL-2.0",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted",
+        "ISC License",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "lgpl": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+        "GNU Lesser General Public License",
+        "GNU LGPL v3",
+        "SPDX-License-Identifier: LGPL-2.1",
     ],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1."],
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
+        "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability",
+        "MIT License",
+        "MIT licensed",
+        "SPDX-License-Identifier: MIT",
+    ],
+    "mpl": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Mozilla Public License",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "reserved": ["All rights reserved.", "Copyright by the author. All rights reserved."],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+        "SPDX-License-Identifier: Unlicense",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable",
+        "SPDX-License-Identifier: Zlib",
+    ],
 }
 
 
@@ -113,6 +172,11 @@ class Vocabulary:
         return row[known], at[known], np.bincount(owner, minlength=n)
 
 
+def needed(pairs: np.ndarray) -> int:
+    """How many of a template's distinct two-grams confirm it."""
+    return len(pairs) if len(pairs) <= WHOLE else int(np.ceil(CONFIRM * len(pairs) - 1e-9))
+
+
 class Model(NamedTuple):
     weights: np.ndarray  # n-grams by families
     offset: np.ndarray
@@ -135,11 +199,14 @@ def _variants(vocabulary: Vocabulary, paragraphs: Sequence[str], seed: int) -> t
     for family, text in vocabulary.texts:
         own = text.split()
         for k in range(VARIANTS):
-            kept = [w for w in own if k == 0 or rng.random() > 0.1]
+            # an identifier or a short form is nothing without one of its words
+            kept = [w for w in own if k == 0 or len(own) <= WHOLE or rng.random() > 0.1]
             before, after = ([filler[i] for i in rng.integers(0, len(filler), rng.integers(0, 7) if k % 3 else 0)] for _ in "ab")
             texts.append(" ".join([*before, *kept, *after]))
             labels.append(family)
-            loose = [own[i] for i in rng.permutation(len(own))[: rng.integers(1, 1 + max(1, len(own) // 2))]]
+            # words as the scan sees them: an identifier falls apart
+            words = re.findall("[0-9A-Za-z]+", text)
+            loose = [words[i] for i in rng.permutation(len(words))[: rng.integers(1, 1 + max(1, len(words) // 2))]]
             texts.append(" ".join([*loose, *after, *before]))
             labels.append(0)
     texts.extend(paragraphs)
@@ -183,7 +250,7 @@ def confirmed(vocabulary: Vocabulary, text: str, families: Sequence[int]) -> boo
     found, _ = grams(words.hashes(), words.text_of())
     own = set(found[len(words.starts) :].tolist())
     return any(
-        len(pairs) and len(own.intersection(pairs.tolist())) >= CONFIRM * len(pairs) for f, pairs in vocabulary.pairs if f in families
+        len(pairs) and len(own.intersection(pairs.tolist())) >= needed(pairs) for f, pairs in vocabulary.pairs if f in families
     )
 
 
@@ -208,7 +275,7 @@ class Search:
             pairs, _ = grams(words.hashes(), words.text_of())
             rows += [(h, k, place) for place, h in enumerate(pairs[len(words.starts) :].tolist())]
             self.sizes.append(len(words.starts))
-            self.need.append(int(np.ceil(CONFIRM * len(vocabulary.pairs[k][1]) - 1e-9)))
+            self.need.append(needed(vocabulary.pairs[k][1]))
         rows.sort()
         self.pairs = np.array([r[0] for r in rows], np.uint64)
         self.template, self.place = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
