@@ -11,7 +11,9 @@ from adclick.checks.registry import query
 from adclick.checks.scalar import B
 from adclick.functions import features as X
 from adclick.operators import anova, metrics, sampling
+from adclick.operators.rollup import merge_rollups, read_rollup, roll_up
 from adclick.plans import jobs
+from adclick.sources.scratch import materialise
 
 # --- aggregation and analysis of variance
 
@@ -330,3 +332,40 @@ def k5_documents(spark, sf_dir):
     )
     scored = joined.select(F.col("quality").cast("double").alias("label"), F.col("n_chars").alias("score"))
     return rounded(metrics.auc_score(scored), "auc", digits=9)
+
+
+
+# --- stored sketches
+
+
+def _rollup(by):
+    """Sketches by day, written, read and merged to the groups ``by``; exact
+    numbers beside whether the sketches are within their bounds: four standard errors
+    of a distinct count, two per cent of the rows in the rank of the median."""
+
+    def run(spark, sf_dir):
+        events = table(spark, sf_dir, "events")
+        rows = events.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", "user_id", "value")
+        stored = materialise(roll_up(rows, ["day", "event_type"], ["user_id"], ["value"]), "rollup")
+        numbers = read_rollup(merge_rollups(stored, by), (0.5,)).withColumn("q", F.col("quantiles_value")[0])
+        both = rows.join(F.broadcast(numbers.select(*by, "q", "distinct_user_id", "rows")), by)
+        share = lambda test: F.count_if(test) / F.count("*")
+        exact = both.groupBy(*by, "rows", "distinct_user_id").agg(
+            F.count_distinct("user_id").alias("users"), share(F.col("value") < F.col("q")).alias("below"), share(F.col("value") <= F.col("q")).alias("up_to")
+        )
+        error = F.abs(F.col("distinct_user_id") - F.col("users"))
+        return exact.select(
+            *by, "rows", "users", (error <= F.greatest(F.lit(1.0), 4 * 0.0163 * F.col("users"))).alias("users_within"),
+            ((F.col("below") <= 0.52) & (F.col("up_to") >= 0.48)).alias("median_within"),
+        )
+
+    return run
+
+
+def _rollup_sql(day):
+    return f"""select {day}, count(*) as rows, count(distinct user_id) as users, true as users_within, true as median_within
+      from events group by 1"""
+
+
+query("g6_rollup_by_day", _rollup_sql("strftime(ts, '%Y-%m-%d') as day"))(_rollup(["day"]))
+query("g6_rollup_by_event_type", _rollup_sql("event_type"))(_rollup(["event_type"]))
