@@ -13,8 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One bid request per event, with exactly the columns of the JSON input.
+def bids(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """One bid request per event, with exactly the columns of the JSON input;
+    ``events`` may be a stream of them.
 
     No join is hinted: nation and region are broadcast by their file size,
     customer too while it is small; beyond that the join is by shuffle and
@@ -58,7 +59,7 @@ def bids(spark: SparkSession, sf_dir: str) -> DataFrame:
         "user": F.col("c_name"),
     }
     joined = (
-        table(spark, sf_dir, "events")
+        (table(spark, sf_dir, "events") if events is None else events)
         .withColumn("k", k)
         .join(table(spark, sf_dir, "customer"), F.col("user_id") == F.col("c_custkey"))
         .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))

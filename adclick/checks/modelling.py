@@ -15,6 +15,7 @@ from adclick.operators import metrics, sampling
 from adclick.plans import jobs, models
 from adclick.sources.schema import FeatureSpec
 from adclick.sources.scratch import scratch_path
+from adclick.streaming import scoring as streaming
 
 
 def trained(spark, sf_dir, kind, fraction=0.03, spec=None, **settings):
@@ -427,3 +428,41 @@ query("l4_predictions_lr_one_feature", _LOGIT_SQL + _PREDICTED)(_predict("lr", O
 query("l4_predictions_rf_one_tree", _STUMP_SQL + _PREDICTED)(_predict("rf", None, "auto", **ONE_TREE))
 query("l4_predictions_lr")(_predict("lr"))
 query("l4_predictions_rf", f"with {S.forest('0.03', 64, drawn=6)}" + _PREDICTED)(_predict("rf"))
+
+
+# --- streams
+
+
+def _event_stream(spark, sf_dir):
+    """The event table as files that arrive; each row twice, as it may be sent again."""
+    events = table(spark, sf_dir, "events")
+    stream = streaming.read_files(spark, f"{sf_dir}/events.parquet*", events.schema, "parquet")
+    return stream.withColumn("sent", F.explode(F.array(F.lit(1), F.lit(2)))).drop("sent")
+
+
+@query("m1_stream_scores", NB + _PREDICTED)
+def m1(spark, sf_dir):
+    """A model fitted on the table scores the stream, every request once."""
+    features = jobs.fit_features(bids(spark, sf_dir), terms(spark, sf_dir))
+    table_ = features.transform(bids(spark, sf_dir))
+    spec = model_spec(table_)
+    train_part, _ = sampling.hash_split(spec.select(table_), spec.key)
+    model = models.fit_model(sampling.balance(train_part, spec.key), spec, "nb")
+    stream = bids(spark, sf_dir, _event_stream(spark, sf_dir))
+    return lower_names(streaming.run_once(streaming.scored(stream, features, model, spec, "100 days"), "scores"))
+
+
+@query(
+    "m2_stream_clicks_after_views",
+    """select v.event_id as view_id, c.event_id as click_id from events v join events c on v.user_id = c.user_id
+      where v.event_type = 'view' and c.event_type = 'click' and c.ts >= v.ts and c.ts <= v.ts + interval 6 hours""",
+)
+def m2(spark, sf_dir):
+    """Clicks of a user up to six hours after a view, each sent twice."""
+    events = _event_stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    once = streaming.first_of_each(events, "event_id", "ts", "100 days").select("event_id", "user_id", "event_type", "ts")
+    both = streaming.joined_within(
+        once.where("event_type = 'view'"), once.where("event_type = 'click'"), "user_id", "ts", "ts", "6 hours", None
+    )
+    joined = both.select(F.col("event_id").alias("view_id"), F.col("click_event_id").alias("click_id"))
+    return streaming.run_once(joined, "clicks")

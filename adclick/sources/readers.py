@@ -31,7 +31,10 @@ def read_requests(
     rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", name).json(path)
     if corrupt:
         return rows
-    return rows.where(F.col(name).isNull()).drop(name)
+    # the test of a field keeps a count of the rows, which needs no other
+    # column, from reading the corrupt column alone, as that is not allowed
+    read = F.length(F.coalesce("impid", F.lit(""))) >= 0
+    return rows.where(F.col(name).isNull() & read).drop(name)
 
 
 def _with_rest(spark: SparkSession, path: str, strict: bool, corrupt: str | None, rest: str) -> DataFrame:
