@@ -29,7 +29,6 @@ import hashlib
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -110,31 +109,44 @@ def _overlap(a: Counter, b: Counter) -> float:
 
 def differing(a: str, b: str) -> list[tuple[int, int, int]]:
     """(section, paragraph, leaf) places of ``b`` that ``a`` lacks, top down:
-    equal roots have none, sections that both have are not opened, nor are
-    paragraphs. What was taken out is found the other way round."""
+    equal roots have none, and what both begin or end with, sections that both
+    have and then paragraphs that both have are not opened. Time is linear in the
+    leaves. What was taken out is found the other way round; where things only
+    changed places, all between the common ends differ."""
     if a[:32] == b[:32]:
         return []
     old, new = (x.partition(":")[2].split("|") for x in (a, b))
-    out = []
-    for old_sections, new_sections in _changed(old, new):
-        before = [p for s in old_sections for p in old[s].split(",")]
-        places = [(s, k, p) for s in new_sections for k, p in enumerate(new[s].split(","))]
-        for old_lines, new_lines in _changed(before, [p for _, _, p in places]):
-            known = Counter(before[k][i : i + WIDTH] for k in old_lines for i in range(0, len(before[k]), WIDTH))
-            for section, k, line in (places[n] for n in new_lines):
-                for i in range(0, len(line), WIDTH):
-                    if known[line[i : i + WIDTH]] > 0:
-                        known[line[i : i + WIDTH]] -= 1
-                    else:
-                        out.append((section, k, i // WIDTH))
-    return out
-
-
-def _changed(a: list[str], b: list[str]) -> Iterator[tuple[range, range]]:
-    """The stretches of two sequences that do not match."""
-    for kind, a1, a2, b1, b2 in SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if kind != "equal":
-            yield range(a1, a2), range(b1, b2)
+    low, high = _common_ends(old, new)
+    middle = [(s, new[s]) for s in range(low, len(new) - high)]
+    before, after = _lacking(old[low : len(old) - high], middle)
+    paragraphs = [((s, k), p) for s, section in after for k, p in enumerate(section.split(","))]
+    before, after = _lacking([p for section in before for p in section.split(",")], paragraphs)
+    cut = lambda run: [run[i : i + WIDTH] for i in range(0, len(run), WIDTH)]
+    places = [((*place, i), leaf) for place, run in after for i, leaf in enumerate(cut(run))]
+    before, after = _lacking([leaf for run in before for leaf in cut(run)], places)
+    if not before and not after:  # the same leaves in another order
+        return [(s, k, i) for s, section in middle for k, p in enumerate(section.split(",")) for i in range(len(cut(p)))]
+    return [place for place, _ in after]
+
+
+def _common_ends(a: list[str], b: list[str]) -> tuple[int, int]:
+    """How many items both begin with, and how many of the rest they end with."""
+    most = min(len(a), len(b))
+    low = next((i for i in range(most) if a[i] != b[i]), most)
+    high = next((i for i in range(most - low) if a[-1 - i] != b[-1 - i]), most - low)
+    return low, high
+
+
+def _lacking(old: list[str], new: list[tuple]) -> tuple[list[str], list[tuple]]:
+    """What of ``old`` is not in ``new``, and of ``new`` (place, item) not in
+    ``old``; each item answers for one like it."""
+    left, after = Counter(old), []
+    for place, item in new:
+        if left[item] > 0:
+            left[item] -= 1
+        else:
+            after.append((place, item))
+    return list(left.elements()), after
 
 
 _BRANCH = T.StructType([T.StructField(n, T.IntegerType()) for n in ("section", "paragraph", "leaf")])
@@ -253,7 +265,7 @@ def _successions(table: pa.Table) -> Iterator[tuple]:
 
 
 def _edits(rows: Iterator[tuple]) -> pa.Table:
-    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_differing")
     values: dict[str, list] = {n: [] for n in names}
     ready = None
     for key, text, after in rows:
@@ -265,22 +277,24 @@ def _edits(rows: Iterator[tuple]) -> pa.Table:
         ready = fingerprint(after)
         mine = leaves(own)
         near = [1.0 if own[:32] == x[:32] else _overlap(mine, leaves(x)) for x in (changed, ready)]
-        row = (key, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, changed, *near)
+        row = (key, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, changed, *near, len(differing(own, changed)))
         for name, value in zip(names, row, strict=True):
             values[name].append(value)
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64())
     return pa.table({n: pa.array(v, k) for (n, v), k in zip(values.items(), kinds, strict=True)})
 
 
 def edit_report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text, of a copy whose last third is replaced by the
-    beginning of the next text, and their likenesses."""
+    beginning of the next text, their likenesses, and how many leaves of the copy
+    differ."""
     schema = T.StructType(
         [
             T.StructField("doc_id", T.LongType()),
             T.StructField("n_chars", T.LongType()),
             *[T.StructField(n, T.StringType()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")],
             *[T.StructField(n, T.DoubleType()) for n in ("near_edited", "near_next")],
+            T.StructField("n_differing", T.LongType()),
         ]
     )
     return neighbours(df, key, text, _edits, schema)
