@@ -41,7 +41,10 @@ _WHITE = " \t\n\x0b\x0c\r"
 
 
 def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(_WHITE)), ascii_uppercase, ascii_lowercase)
+    """The fast way where a line is all ASCII, as other letters stay as they are."""
+    own = F.btrim(line, F.lit(_WHITE))
+    plain = F.octet_length(own) == F.length(own)
+    return F.when(plain, F.lower(own)).otherwise(F.translate(own, ascii_uppercase, ascii_lowercase))
 
 
 def _parts(text: Column) -> Column:
