@@ -1,11 +1,12 @@
 """As-of joins: for each row the last row of another table at or before it.
 
 Both tables become one, ordered by key and time, in which "the last one seen" is
-a running window. A key that holds more than a range's share of all rows is cut
-into ranges at approximate quantiles of its times, so no task grows with a hot
-key. What such a range begins with is carried over: the last right row of each
-range goes to the ranges after it. At most as many keys as there are ranges are
-cut, so this table, and that of the cuts, has a few rows a range.
+a running window. The order is cut into ranges of rows, also within a key, so no
+task grows with a hot key; rows of one key and time stay in one range. A key
+that lies in several ranges has its last right row of each carried over to the
+ranges after it. Such a key is the first or the last of a range, so what is
+carried has at most two rows a range, however many ranges there are, and each
+row finds its range by the shuffle, without a look at the cuts.
 """
 
 from __future__ import annotations
@@ -15,26 +16,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from adclick.sources.scratch import materialise
+from adclick.sources.scratch import discard, materialise
 
 # Rows of one range, about; there are at least as many ranges as partitions.
 RANGE_ROWS = 1_000_000
+# Smaller ranges are asked of a table until there are so many a partition: each is
+# a task and a file, which more of them do not make shorter.
+RANGES_A_PARTITION = 4
 
 
-def _cuts(both: DataFrame, range_rows: int) -> DataFrame:
-    """(key, cuts): times at which a key with too many rows is cut."""
-    least = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = both.count()
-    ranges = max(least, -(-total // range_rows))
-    counts = both.groupBy("key").agg(F.count("*").alias("n"))
-    hot = counts.where(F.col("n") * ranges > total).select("key", F.ceil(F.col("n") * ranges / total).cast("int").alias("parts"))
-    shares = [i / ranges for i in range(1, ranges)] or [1.0]
-    at = both.join(F.broadcast(hot), "key").groupBy("key", "parts").agg(
-        F.percentile_approx("time", F.lit(shares), F.lit(10 * ranges)).alias("cuts")
-    )
-    step = F.greatest(F.lit(1), F.floor(F.lit(ranges) / F.col("parts")).cast("int"))
-    chosen = F.filter("cuts", lambda _, i: (i + 1) % step == 0)
-    return materialise(at.select("key", F.array_sort(F.array_distinct(chosen)).alias("cuts")), "cuts")
+def _ranges(rows: int, range_rows: int, partitions: int) -> int:
+    """The number of ranges. It grows with the rows, so a range never has more
+    than the larger of ``range_rows`` and ``RANGE_ROWS``, about."""
+    wanted = -(-rows // range_rows)
+    needed = -(-rows // max(range_rows, RANGE_ROWS))
+    return max(partitions, needed, min(wanted, RANGES_A_PARTITION * partitions))
 
 
 def asof_join(
@@ -74,20 +70,22 @@ def asof_join(
         rights.where(usable).select("key", "time", F.lit(second).alias("side"), missing("left"), "last")
     )
     both = materialise(both, "asof")
-    cuts = _cuts(both.select("key", "time"), range_rows)
-    cut = both.join(F.broadcast(cuts), "key", "left")
-    # rows of one time are in one part
-    below = F.size(F.filter("cuts", lambda c: c < F.col("time")))
-    cut = cut.withColumn("part", F.when(F.col("cuts").isNull(), 0).otherwise(below)).drop("cuts")
+    ranges = _ranges(both.count(), range_rows, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # bounds of ranges are sampled, so the range of each row is written down
+    cut = both.repartitionByRange(ranges, "key", "time").withColumn("part", F.spark_partition_id())
+    cut = materialise(cut, "ranges")
+    discard(both)
 
     order = Window.partitionBy("key", "part").orderBy("time", "side", "last")
     seen = F.last("last", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     within = cut.withColumn("seen", seen).where("left is not null").select("key", "part", "left", "seen")
-    ends = cut.join(F.broadcast(cuts.select("key")), "key", "left_semi").where("last is not null")
+    # a key in several ranges is at the edge of each of them
+    edges = cut.groupBy("part").agg(F.array_distinct(F.array(F.min("key"), F.max("key"))).alias("keys")).select("part", F.explode("keys").alias("key"))
+    edges = materialise(edges.withColumn("parts", F.count("*").over(Window.partitionBy("key"))).where("parts > 1").drop("parts"), "edges")
+    ends = cut.where("last is not null").join(F.broadcast(edges), ["key", "part"], "left_semi")
     ends = ends.groupBy("key", "part").agg(F.max(F.struct("time", "last"))["last"].alias("end"))
-    every = cuts.select("key", F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("part"))
     earlier = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = every.join(ends, ["key", "part"], "left").select("key", "part", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+    carried = edges.join(ends, ["key", "part"], "left").select("key", "part", F.last("end", ignorenulls=True).over(earlier).alias("carried"))
     carried = materialise(carried, "carried")
     found = within.join(F.broadcast(carried), ["key", "part"], "left").select("left", F.coalesce("seen", "carried").alias("last"))
     apart = lefts.where(~usable).select("left", missing("last"))
